@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from larkspur.llm.eval_leaks import eval_leaks
 from larkspur.llm.formatting_duplicates import formatting_duplicates
 from larkspur.llm.heavy_hitters import heavy_hitters
+from larkspur.llm.mixing import Mixture
+from larkspur.llm.nearest_vectors import nearest_vectors, recall
 from larkspur.llm.seen_before import SeenBefore
 from larkspur.llm.term_frequency import term_frequency
 from larkspur.sources.tables import table
@@ -32,6 +34,17 @@ def p2_terms(spark: SparkSession, directory: str) -> DataFrame:
     return term_frequency(table(spark, directory, "stories"))
 
 
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    near = nearest_vectors(table(spark, directory, "story_vectors"), k=10, least_similarity=0.8)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def p3_recall(spark: SparkSession, directory: str) -> DataFrame:
+    """How many of the true ten most similar vectors are found, for all queries whose id is divisible by 100."""
+    vectors = table(spark, directory, "story_vectors")
+    return recall(vectors, nearest_vectors(vectors, k=10), k=10)
+
+
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return heavy_hitters(table(spark, directory, "search_analytics")).select(F.col("value").alias("query"))
 
@@ -60,8 +73,23 @@ def p6_passages(spark: SparkSession, directory: str) -> DataFrame:
     return eval_leaks(table(spark, directory, "documents"), table(spark, directory, "eval_items"))
 
 
+def _mixture(spark: SparkSession, directory: str) -> Mixture:
+    return Mixture(table(spark, directory, "documents"), table(spark, directory, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, directory: str) -> DataFrame:
+    return _mixture(spark, directory).documents()
+
+
+def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
+    return _mixture(spark, directory).shares()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    listed = [p1_found, p1_records, p2_found, p2_terms, p4_found, p4_counts, p5_found, p5_rates, p6_found, p6_passages]
+    listed = [
+        p1_found, p1_records, p2_found, p2_terms, p3_found, p3_recall, p4_found, p4_counts,
+        p5_found, p5_rates, p6_found, p6_passages, p7_mixture, p7_shares,
+    ]
     return {query.__name__: query for query in listed}
 
 
