@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.eval_leaks import eval_leaks
 from larkspur.llm.formatting_duplicates import formatting_duplicates
+from larkspur.llm.garbled_text import GarbledText
 from larkspur.llm.heavy_hitters import heavy_hitters
 from larkspur.llm.mixing import Mixture
 from larkspur.llm.nearest_vectors import nearest_vectors, recall
@@ -85,10 +86,18 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return _mixture(spark, directory).shares()
 
 
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    return GarbledText(table(spark, directory, "documents")).found()
+
+
+def p8_restored(spark: SparkSession, directory: str) -> DataFrame:
+    return GarbledText(table(spark, directory, "documents")).restored()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = [
         p1_found, p1_records, p2_found, p2_terms, p3_found, p3_recall, p4_found, p4_counts,
-        p5_found, p5_rates, p6_found, p6_passages, p7_mixture, p7_shares,
+        p5_found, p5_rates, p6_found, p6_passages, p7_mixture, p7_shares, p8_found, p8_restored,
     ]
     return {query.__name__: query for query in listed}
 
