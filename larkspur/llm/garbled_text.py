@@ -242,7 +242,9 @@ class GarbledText:
         # The byte order mark, which any text may begin with and none shows when read rightly.
         mark = self.distinct.groupBy().agg(F.sum("df").alias("df")).select(F.lit("run").alias("grain"), F.lit("\ufeff").alias("text"), "df")
         sources = sources.unionByName(mark.dropna()).groupBy("grain", "text").agg(F.sum("df").alias("df"))
-        forms = sources.mapInPandas(_table, "grain string, form string, original string, chain string, df long")
+        # Garbling takes long for few bytes, so the number of tasks follows the words, not the bytes.
+        tasks = max(self.distinct.sparkSession.sparkContext.defaultParallelism, self.distinct.count() // 2000)
+        forms = sources.repartition(tasks).mapInPandas(_table, "grain string, form string, original string, chain string, df long")
         best = F.max(F.struct("df", "original", "chain")).alias("best")
         return (
             forms.groupBy("grain", "form")
