@@ -169,13 +169,25 @@ def _best(queries: np.ndarray, query_ids: np.ndarray, members: np.ndarray, membe
     return [np.concatenate(x) for x in zip(*out)]
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, v`` with vectors scaled to length 1; without those that have none or an element that is no number."""
+    for batch in batches:
+        lists = batch.column(1)
+        sizes = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+        for size in np.unique(sizes[sizes > 0]):
+            own = batch.filter(pa.array(sizes == size))
+            rows = own.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, int(size)).astype(np.float64)
+            norm = np.sqrt((rows * rows).sum(axis=1))
+            keep = np.isfinite(norm) & (norm > 0)
+            units = (rows[keep] / norm[keep][:, None]).astype(np.float32)
+            offsets = pa.array(np.arange(0, units.size + 1, size), pa.int32())
+            yield pa.RecordBatch.from_arrays([own.column(0).filter(pa.array(keep)), pa.ListArray.from_arrays(offsets, pa.array(units.ravel()))], ["id", "v"])
+
+
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v``: unit vectors of the table's usual dimension, without nulls, NaN or infinities."""
+    """``id, v``: unit vectors, without nulls, NaN or infinities."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).dropna()
-    rows = rows.filter(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    rows = rows.withColumn("norm", norm).filter((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    return rows.select("id", F.transform("v", lambda x: (x / F.col("norm")).cast("float")).alias("v"))
+    return rows.mapInArrow(_units, "id long, v array<float>")
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
