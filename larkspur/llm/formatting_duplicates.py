@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.lineage import cut
 from larkspur.functions.unicode import WS, fold, split_words
 
 #: Both lanes of the fingerprint are sums modulo this prime (2^61 - 1); a sum of two residues fits a long.
@@ -66,7 +67,7 @@ def formatting_duplicates(log: DataFrame, id_col: str = "id", text_col: str = "q
 
     ``n_copies`` counts distinct ids; ``first_id`` is the smallest; ``example`` is the smallest spelling.
     Rows with a null id or text, and texts without letter or digit, are no records. Rows delivered more than
-    once (same id, same text) count once. An empty table gives an empty result. Other columns are not read.
+    once (same id, same text) count once. An empty table gives an empty result. Other columns are not read. The distinct spellings are checkpointed when called.
     """
     rows = log.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]"))
@@ -84,6 +85,8 @@ def formatting_duplicates(log: DataFrame, id_col: str = "id", text_col: str = "q
         "first_id",
         "n",
     )
+    # Needed twice, for the representatives and for the comparison with them.
+    hashed = cut(hashed)
     key = ["lane0", "lane1", "width"]
     chosen = hashed.groupBy(*key).agg(F.min(F.struct("text", "fields")).alias("chosen"))
     # A group that collides on the fingerprint is told apart by its exact fields; only those are sorted.
