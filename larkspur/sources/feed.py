@@ -65,8 +65,8 @@ class StoryFeed(DataSource):
 
 
 def decode_items(bodies: DataFrame) -> DataFrame:
-    """The items of raw JSON bodies: ``rank`` and the item's fields. Null or malformed bodies are dropped."""
-    decoded = bodies.withColumn("item", F.from_json("body", FEED_ITEM)).filter(F.col("item").isNotNull())
+    """The items of raw JSON bodies: ``rank`` and the item's fields. Bodies that are null, malformed or without id are dropped."""
+    decoded = bodies.withColumn("item", F.from_json("body", FEED_ITEM)).filter(F.col("item.id").isNotNull())
     return decoded.select("rank", "item.*")
 
 

@@ -1,4 +1,7 @@
-"""Keyed state over streams: the sliding-window limiter and the result cache, as in batch."""
+"""Keyed state over streams: the sliding-window limiter and the result cache, as in batch.
+
+State expires in event time. Requests later than the watermark allows are dropped by Spark.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +17,13 @@ from larkspur.operators.result_cache import TTL_SECONDS, valid_requests
 _MICROS = 1_000_000
 
 
-def admit_stream(requests: DataFrame, limit: int = 40, window_seconds: int = 60) -> DataFrame:
+def _timed(requests: DataFrame, lateness: str, *columns: str) -> DataFrame:
+    micros = F.round(F.col("epoch") * _MICROS).cast("long")
+    rows = requests.filter("epoch IS NOT NULL").select(*columns, micros.alias("us"), F.timestamp_micros(micros).alias("at"))
+    return rows.withWatermark("at", lateness)
+
+
+def admit_stream(requests: DataFrame, limit: int = 40, window_seconds: int = 60, lateness: str = "10 minutes") -> DataFrame:
     """``request_id, ip, prior, decision`` of a stream of ``request_id, ip, epoch``.
 
     Agrees with the batch operator on requests that arrive in order. The state of a client is the times of its last
@@ -34,17 +43,16 @@ def admit_stream(requests: DataFrame, limit: int = 40, window_seconds: int = 60)
             priors.append(len(times))
             times.append(us)
         state.update((times,))
-        state.setTimeoutDuration(window_seconds * 1000)
+        state.setTimeoutTimestamp(max(times[-1] + span, 1000 * (state.getCurrentWatermarkMs() + 1000)) // 1000)
         decision = ["allow" if p < limit else "reject" for p in priors]
         yield pd.DataFrame({"request_id": rows["request_id"], "ip": rows["ip"], "prior": priors, "decision": decision})
 
-    timed = requests.filter("epoch IS NOT NULL").select("request_id", "ip", F.round(F.col("epoch") * _MICROS).cast("long").alias("us"))
-    return timed.groupBy("ip").applyInPandasWithState(
-        admit, "request_id long, ip string, prior long, decision string", "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return _timed(requests, lateness, "request_id", "ip").groupBy("ip").applyInPandasWithState(
+        admit, "request_id long, ip string, prior long, decision string", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def cache_stream(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+def cache_stream(requests: DataFrame, ttl_seconds: int = TTL_SECONDS, lateness: str = "10 minutes") -> DataFrame:
     """``request_id, q, page, page_size, outcome`` of a stream of requests; a key's state is when its page expires."""
     ttl = ttl_seconds * _MICROS
 
@@ -60,11 +68,10 @@ def cache_stream(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFra
             if us >= expires:
                 expires = us + ttl
         state.update((expires,))
-        state.setTimeoutDuration(ttl_seconds * 1000)
+        state.setTimeoutTimestamp(max(expires, 1000 * (state.getCurrentWatermarkMs() + 1000)) // 1000)
         yield rows[["request_id", "q", "page", "page_size"]].assign(outcome=outcome)
 
-    micros = F.round(F.col("epoch") * _MICROS).cast("long").alias("us")
-    timed = valid_requests(requests).select("request_id", "q", "page", "page_size", micros)
+    timed = _timed(valid_requests(requests), lateness, "request_id", "q", "page", "page_size")
     return timed.groupBy("q", "page", "page_size").applyInPandasWithState(
-        look_up, "request_id long, q string, page int, page_size int, outcome string", "expires long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        look_up, "request_id long, q string, page int, page_size int, outcome string", "expires long", "append", GroupStateTimeout.EventTimeTimeout
     )
