@@ -46,6 +46,9 @@ _ODD = re.compile(
 )
 #: Letters and punctuation that words are written with, as far as it is needed to tell that a decoding makes sense.
 _USUAL = re.compile(r"[\x20-\x7e\xa0-\u017f\u0400-\u045f\u2010-\u203a€\u3000-\u30ff\u4e00-\u9fff\uff01-\uff5e]*")
+_WHOLE = re.compile(r".+", re.DOTALL)
+#: A stretch without characters of scripts that have no spaces, in which it may be embedded.
+_SEGMENT = re.compile(r"[^\u3001-\u30ff\u3400-\u9fff]+")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _OTHER = re.compile(r"[Ͱ-ۿ฀-๿]")
 _HAN = re.compile(r"[㐀-鿿]")
@@ -261,10 +264,13 @@ class GarbledText:
         usual = pieces.groupBy("grain", "form").agg(F.sum("df").alias("own"))
         known = usual.join(self.table(), ["grain", "form"])
         size = F.length("form")
-        telling = (size >= 3) | ((size == 2) & F.col("form").rlike(r"[^\p{L}\p{M}\p{N}]"))
-        rare = (F.col("df") >= self.rarer * F.col("own")) & telling
+        # Short forms tell little, unless they hold symbols, are longer than their original or of another script.
+        foreign = F.col("form").rlike(r"^\p{IsHan}$") & ~F.col("original").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
+        two = (size == 2) & (F.col("form").rlike(r"[^\p{L}\p{M}\p{N}]") | (F.length("original") == 1))
+        rare = (F.col("df") >= self.rarer * F.col("own")) & ((size >= 3) | two)
+        rare = rare | (foreign & (F.col("df") >= 2 * self.rarer * F.col("own")))
         # A single letter can be a word of any language.
-        alone = (F.col("grain") == "word") & (size == 1) & F.col("form").rlike(r"\p{L}")
+        alone = (F.col("grain") == "word") & (size == 1) & F.col("form").rlike(r"\p{L}") & ~foreign
         known = known.filter(~alone).select("grain", "form", "original", "chain", "ambiguous", rare.alias("rare"))
         found = pieces.select("word", "grain", "form", "run", "parts", "odd").join(known, ["grain", "form"])
         return found.filter("odd OR rare").drop("odd", "rare")
@@ -333,7 +339,16 @@ def _restore(word: str, original: str | None, runs, tried) -> str | None:
     if pieces and all(p in known for p in pieces) and any(p != known[p] for p in pieces) and len(known) == len(pieces):
         return _RUN.sub(lambda m: known[m.group()], word)
     for chain in tried:
-        plain = undo(word, chain)
-        if plain is not None and plain != word and not looks_garbled(plain) and any(form == word for c, form in chains(plain) if c == chain):
-            return plain
+        for pattern in (_WHOLE, _SEGMENT):
+            plain = pattern.sub(lambda m: _undone(m.group(), chain), word)  # noqa: B023
+            if plain != word and not unnatural(plain):
+                return plain
     return None
+
+
+def _undone(text: str, chain: str) -> str:
+    """The text that garbling under the chain turns into ``text``, or ``text`` itself."""
+    plain = undo(text, chain)
+    if plain is None or text.isascii() or looks_garbled(plain):
+        return text
+    return plain if any(form == text for c, form in chains(plain) if c == chain) else text
