@@ -204,19 +204,22 @@ def nearest_vectors(
     vector_col: str = "embedding",
     k: int = 10,
     least_similarity: float = -1.0,
-    list_size: int = 300,
+    list_size: int = 1000,
     sample_rows: int = 65_536,
+    sample_bytes: int = 64 << 20,
     replicate: float = 1.1,
-    probe: float = 1.1,
-    breadth: int = 64,
+    probe: float = 1.15,
+    breadth: int = 32,
+    replicas: int = 8,
     list_rows: int = 40_000,
 ) -> DataFrame:
     """``id, other, similarity``: of each vector, its ``k`` most similar others, at least ``least_similarity`` alike.
 
     Null vectors, zero vectors and vectors with null, NaN or infinite elements or of another than the usual
     dimension take no part; a repeated row counts once; among equally similar vectors any may be given. An empty
-    table gives an empty result. ``sample_rows`` bounds the training sample (drawn by hash of the id); all rows
-    are indexed. A larger ``replicate`` or ``probe`` (distance ratios) raises recall and work. Trains when called.
+    table gives an empty result. ``sample_rows`` and ``sample_bytes`` bound the training sample (drawn by hash of the id); all rows
+    are indexed. A larger ``replicate`` or ``probe`` (distance ratios), up to ``replicas`` lists to be stored in and ``breadth``
+    lists to search, raises recall and work. Trains when called.
     """
     spark = vectors.sparkSession
     rows = _usable(vectors, id_col, vector_col)
@@ -230,7 +233,8 @@ def nearest_vectors(
         return empty
     dimension = counted["d"]
     index = directions.filter(F.size("v") == dimension)
-    every = max(1, n // sample_rows)
+    sample_rows = min(sample_rows, sample_bytes // (4 * dimension))
+    every = max(1, n // max(1, sample_rows))
     drawn = index.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(every)) == 0).select("v").toArrow()["v"].combine_chunks()
     sample = np.asarray(drawn.values.to_numpy(zero_copy_only=False), np.float32).reshape(-1, dimension)
     lists = max(1, min(n // list_size, len(sample) // 16))
@@ -250,6 +254,7 @@ def nearest_vectors(
                 beam, distance = held.near(data, breadth, max(replicate, probe))
                 bound = distance[:, :1] + 1e-6
                 stored, asks = distance <= replicate * bound, distance <= probe * bound
+                stored[:, replicas:] = False
                 row, slot = np.nonzero((stored | asks) & (beam >= 0))
                 where = beam[row, slot]
                 for role, takes in ((_MEMBER, stored[row, slot]), (_QUERY, asks[row, slot])):

@@ -35,15 +35,23 @@ def p2_terms(spark: SparkSession, directory: str) -> DataFrame:
     return term_frequency(table(spark, directory, "stories"))
 
 
+def _close(vectors: DataFrame) -> DataFrame:
+    # Neighbours as close as this share nearly all of their lists, so fewer need be searched.
+    return nearest_vectors(vectors, k=10, least_similarity=0.8, probe=1.1)
+
+
 def p3_found(spark: SparkSession, directory: str) -> DataFrame:
-    near = nearest_vectors(table(spark, directory, "story_vectors"), k=10, least_similarity=0.8)
+    near = _close(table(spark, directory, "story_vectors"))
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
 def p3_recall(spark: SparkSession, directory: str) -> DataFrame:
-    """How many of the true ten most similar vectors are found, for all queries whose id is divisible by 100."""
+    """How many of the true ten most similar vectors are found, of all and of those at least 0.8 alike, by brute force for
+    all queries whose id is divisible by 100."""
     vectors = table(spark, directory, "story_vectors")
-    return recall(vectors, nearest_vectors(vectors, k=10), k=10)
+    every = recall(vectors, nearest_vectors(vectors, k=10), k=10).withColumn("least_similarity", F.lit(-1.0))
+    close = recall(vectors, _close(vectors), k=10, least_similarity=0.8).withColumn("least_similarity", F.lit(0.8))
+    return every.unionByName(close)
 
 
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:

@@ -220,9 +220,10 @@ class SeenBefore:
     def answers(self) -> DataFrame:
         """``arrival, key, seen`` for every arrival. Joined within generations, so a frequent key is spread over all of them."""
         verdicts = self.confirmed(self.filters()).select("generation", "key", "first", "earlier")
-        return self.arrivals.join(verdicts, ["generation", "key"], "left").select(
-            "arrival", "key", F.coalesce(F.col("earlier") | (F.col("arrival") > F.col("first")), F.lit(False)).alias("seen")
-        )
+        seen = F.coalesce(F.col("earlier") | (F.col("arrival") > F.col("first")), F.lit(False)).alias("seen")
+        known = self.arrivals.join(verdicts, ["generation", "key"]).select("arrival", "key", seen)
+        # Arrivals without a key have no part in the join, where they would all meet in one task.
+        return known.unionByName(self.arrivals.filter(F.col("key").isNull()).select("arrival", "key", F.lit(False).alias("seen")))
 
     def report(self) -> DataFrame:
         """Per generation: its filters' size and audit, its probes, and the answers that were wrong before confirmation."""
