@@ -7,7 +7,7 @@ their order does not depend on how sums were partitioned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the token pattern of the index.
@@ -18,11 +18,11 @@ DECIMALS = 10
 def corpus(stories: DataFrame) -> DataFrame:
     """``id, title, text, preprocessed_text, url, score``: each non-null id once (rows inserted twice are equal).
 
-    A story without preprocessed text has no terms.
+    Aggregated column by column, so that columns nobody asks for are never read. A story without preprocessed text
+    has no terms.
     """
     columns = ["title", "text", "preprocessed_text", "url", "score"]
-    once = stories.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(F.struct(*columns)).alias("row"))
-    return once.select("id", "row.*")
+    return stories.filter(F.col("id").isNotNull()).groupBy("id").agg(*(F.min(c).alias(c) for c in columns))
 
 
 def term_counts(stories: DataFrame) -> DataFrame:
@@ -51,9 +51,8 @@ class TfIdfIndex:
 
     def weights(self) -> DataFrame:
         """``id, term, weight``: unit rows."""
-        raw = self._raw()
-        norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-        return raw.join(norms, "id").select("id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+        squares = F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("id"))
+        return self._raw().select("id", "term", (F.col("raw") / F.sqrt(squares)).alias("weight"))
 
     def matches(self, preprocessed_query: str, weights: DataFrame | None = None) -> DataFrame:
         """``id, score`` of the documents that share a term with the query.
