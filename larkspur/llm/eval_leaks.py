@@ -88,7 +88,7 @@ def eval_leaks(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     min_words: int = 12,
-    automaton_chars: int = 16_000_000,
+    automaton_chars: int = 4_000_000,
 ) -> DataFrame:
     """The leaked passages: ``item_id, doc_id, n_words, start, end`` (offsets in characters of the document's text).
 

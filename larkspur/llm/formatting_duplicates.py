@@ -56,10 +56,13 @@ def _lane(items: Column, seed: str) -> Column:
 
 
 def _same_multiset(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same fields equally often. Lists without repeats are compared as sets, others by
+    multiplicities; long lists with repeats, where that would be quadratic, in sorted order."""
     distinct = F.array_distinct(a)
     same_set = (F.size(distinct) == F.size(F.array_distinct(b))) & (F.size(F.array_except(a, b)) == 0)
     repeated = F.forall(distinct, lambda x: F.size(F.filter(a, lambda y: y == x)) == F.size(F.filter(b, lambda y: y == x)))
-    return (F.size(a) == F.size(b)) & same_set & ((F.size(distinct) == F.size(a)) | repeated)
+    counted = F.when(F.size(a) <= 200, repeated).otherwise(F.array_sort(a) == F.array_sort(b))
+    return (F.size(a) == F.size(b)) & same_set & ((F.size(distinct) == F.size(a)) | counted)
 
 
 def formatting_duplicates(log: DataFrame, id_col: str = "id", text_col: str = "query") -> DataFrame:

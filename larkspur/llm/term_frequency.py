@@ -50,20 +50,23 @@ class RadixSpill:
     """Sums counts by term within ``budget`` bytes of memory, spilling to ``folder`` (any URI that pyarrow opens)."""
 
     def __init__(self, folder: str, budget: int) -> None:
+        self.budget, self.folder = budget, folder
+        self.files = self.root = self.local = None
+        self.spilled = 0
+
+    def _open(self) -> None:
+        """Name a folder of this task's own; nothing is written as long as the share fits the memory."""
         from pyarrow import fs
 
-        self.budget = budget
-        self.files, root = fs.FileSystem.from_uri(folder)
+        self.files, root = fs.FileSystem.from_uri(self.folder)
         self.root = f"{root}/radix-{uuid.uuid4().hex}"
         self.local = self.root if isinstance(self.files, fs.LocalFileSystem) else None
-        self.spilled = 0
 
     def _summed(self, reader: pa.RecordBatchReader) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        config = {"threads": 1, "memory_limit": f"{max(64, 3 * self.budget >> 20)}MB"}
-        if self.local:
-            config["temp_directory"] = f"{self.local}-duckdb"
+        spill = f"{self.local}-duckdb" if self.local else ""
+        config = {"threads": 1, "memory_limit": f"{max(64, 3 * self.budget >> 20)}MB", "temp_directory": spill}
         with duckdb.connect(config=config) as db:
             db.register("counts", reader)
             sums = "SELECT term, sum(occurrences)::BIGINT AS occurrences, sum(n_records)::BIGINT AS n_records FROM counts GROUP BY term"
@@ -123,6 +126,7 @@ class RadixSpill:
                 yield held.pop()
             yield from batches
 
+        self._open()
         try:
             for part in list(self._split(rest(), "p", level)):
                 yield from self._aggregate(*part, level + 1)
