@@ -52,15 +52,22 @@ class Engine:
         bodies = self.spark.read.format("story_feed").options(base_url=base_url, limit=str(limit)).load()
         return keyword_filter(decode_items(bodies), keyword)
 
-    def index(self, items: DataFrame, order: str = "rank") -> str:
-        """Store the new stories among crawled items, flush the cache and rebuild the index from all stored stories."""
+    def index(self, items: DataFrame, order: str = "rank", corpus: str = "stored") -> str:
+        """Store the new stories among crawled items, flush the cache and rebuild the index.
+
+        The index is of all stored stories, or with ``corpus="latest"`` of those of this crawl only.
+        """
+        if corpus not in ("stored", "latest"):
+            raise ValueError(f"corpus must be stored or latest, not {corpus}")
         n = ingest(self.spark, items, f"{self.root}/stories", order, self.flush)
-        self.build()
+        stored = self.stories()
+        self.build(stored if corpus == "stored" else stored.join(items.select("id").distinct(), "id", "left_semi"))
         return f"Indexed {n} new stories"
 
-    def build(self) -> None:
-        """Write the index tables: unit weights clustered by term, terms, vectors and the words of titles."""
-        stories = self.stories()
+    def build(self, stories: DataFrame | None = None) -> None:
+        """Write the index tables: the ids searched, unit weights clustered by term, terms, vectors and the words of titles."""
+        stories = self.stories() if stories is None else stories
+        stories.select("id").write.mode("overwrite").parquet(f"{self.root}/indexed")
         built = tfidf.TfIdfIndex(stories)
         built.weights().repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.root}/weights")
         built.terms.write.mode("overwrite").parquet(f"{self.root}/terms")
@@ -70,8 +77,7 @@ class Engine:
 
     def ranked(self, q: str) -> DataFrame:
         """The fused candidates of a query, in order: ``id, final_score, place``."""
-        stories = self.stories()
-        index = tfidf.TfIdfIndex(stories, n_documents=0)
+        index = tfidf.TfIdfIndex(self._read("indexed"), n_documents=0)
         index.terms = self._read("terms")
         sparse = index.top(preprocess_query(q), hybrid.CANDIDATES, self._read("weights"))
         dense = vectors.top(self._read("vectors"), self.embedder.encode([q])[0], hybrid.CANDIDATES)

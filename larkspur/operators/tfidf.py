@@ -38,13 +38,17 @@ def term_table(counts: DataFrame, n_documents: int) -> DataFrame:
 
 
 class TfIdfIndex:
-    """Postings, terms and norms of a corpus, as lazy tables; persist or write them to reuse them."""
+    """Postings, terms and norms of a corpus, as lazy tables; write them to reuse them.
+
+    For a stored index, ``stories`` holds just the ids, ``terms`` is set to the stored terms, and stored weights are passed
+    to the searches.
+    """
 
     def __init__(self, stories: DataFrame, n_documents: int | None = None) -> None:
         self.stories = stories
         self.n_documents = stories.count() if n_documents is None else n_documents
-        self.counts = term_counts(stories)
-        self.terms = term_table(self.counts, self.n_documents)
+        self.counts = term_counts(stories) if "preprocessed_text" in stories.columns else None
+        self.terms = None if self.counts is None else term_table(self.counts, self.n_documents)
 
     def _raw(self) -> DataFrame:
         return self.counts.join(self.terms, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("raw"))

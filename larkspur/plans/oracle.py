@@ -167,8 +167,8 @@ def oracle_sql() -> dict[str, str]:
             WITH {_LOG} SELECT '#' || row_number() OVER (ORDER BY n DESC, query NULLS LAST) AS label, query, n AS count FROM
             (SELECT query, count(query) AS n FROM log GROUP BY query ORDER BY n DESC, query NULLS LAST LIMIT 10)""",
         "zero_searches": f"""
-            WITH {_LOG} SELECT query, timestamp, strftime(timestamp, '%Y-%m-%d') AS date FROM log WHERE results_count = 0
-            ORDER BY timestamp DESC NULLS FIRST, id DESC LIMIT 20""",
+            WITH {_LOG} SELECT query, epoch_us(log.timestamp) AS timestamp, strftime(log.timestamp, '%Y-%m-%d') AS date FROM log WHERE results_count = 0
+            ORDER BY log.timestamp DESC NULLS FIRST, id DESC LIMIT 20""",
         "rate_limit": """
             WITH timed AS (SELECT request_id, ip, round(epoch * 1000000)::BIGINT AS us FROM search_requests WHERE epoch IS NOT NULL),
             counted AS (

@@ -279,7 +279,7 @@ def top_searches(spark: SparkSession, d: str) -> DataFrame:
 
 @_query
 def zero_searches(spark: SparkSession, d: str) -> DataFrame:
-    return reports.zero_searches(_log(spark, d))
+    return reports.zero_searches(_log(spark, d)).withColumn("timestamp", F.unix_micros("timestamp"))
 
 
 @_query

@@ -200,3 +200,9 @@ def test_engine(spark, feed, tmp_path):
     assert engine.zero_searches().collect() == []
     with pytest.raises(ValueError):
         engine.search("x", page=0)
+    newer = spark.createDataFrame([(0, 7, "story", "Database news", "", "u", 4)], ITEMS.replace("arrival_no long", "rank int"))
+    assert engine.index(newer, corpus="latest") == "Indexed 1 new stories"
+    assert [r["id"] for r in engine.search("database").results] == [7]
+    engine.build()
+    engine.flush()
+    assert {r["id"] for r in engine.search("database").results} == {1, 3, 7}
