@@ -159,6 +159,8 @@ class SeenBefore:
             known.distinct().select(F.lit(0).alias("generation"), "key", shard)
         )
         self.bits, self.audit_keys = bits, audit_keys
+        # Solving and probing take long for few bytes, so the number of tasks follows the keys.
+        self.tasks = max(shards, stored.sparkSession.sparkContext.defaultParallelism)
 
     def filters(self) -> DataFrame:
         """One solved filter for each shard of each generation."""
@@ -185,7 +187,8 @@ class SeenBefore:
                 }
             )
 
-        return self.keys.groupBy("shard", "generation").applyInPandas(build, _FILTER)
+        keys = self.keys.repartition(self.tasks, "shard", "generation")
+        return keys.groupBy("shard", "generation").applyInPandas(build, _FILTER)
 
     def probed(self, filters: DataFrame) -> DataFrame:
         """``generation, key, first, probes, yes`` of each distinct key of a generation: how many earlier filters answered yes."""
@@ -202,9 +205,11 @@ class SeenBefore:
                 yes[begin:] += ribbon.contains(keys[begin:])
             return asked.assign(probes=probes, yes=yes)[["generation", "key", "first", "probes", "yes"]]
 
+        held = filters.select("shard", "generation", "blocks", "bits", "solution", "bumped").repartition(self.tasks, "shard")
         return (
-            self.firsts.groupBy("shard")
-            .cogroup(filters.select("shard", "generation", "blocks", "bits", "solution", "bumped").groupBy("shard"))
+            self.firsts.repartition(self.tasks, "shard")
+            .groupBy("shard")
+            .cogroup(held.groupBy("shard"))
             .applyInPandas(probe, "generation int, key long, first long, probes int, yes int")
         )
 
