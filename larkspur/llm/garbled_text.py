@@ -218,6 +218,9 @@ _CITED = (
 )
 
 
+#: What every citation begins with; cheap to look for, and most texts have none.
+_MAYBE_CITED = r'["“„«‹‘]\s?[^\x00-\x7f]'
+
 #: What parts words: ASCII whitespace and HTML tags.
 _BREAK = r"(?:[ \t\n\x0B\f\r]|</?[A-Za-z]{1,10} ?/?>)+"
 
@@ -233,7 +236,7 @@ class GarbledText:
 
     def __init__(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarer: int = 4, share: float = 0.6, stretch: int = 6) -> None:
         self.texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropna()
-        plain = F.regexp_replace("text", _CITED, " ")
+        plain = F.when(F.col("text").rlike(_MAYBE_CITED), F.regexp_replace("text", _CITED, " ")).otherwise(F.col("text"))
         words = F.array_distinct(F.filter(F.split(plain, _BREAK), lambda w: w.rlike(r"[^\x00-\x7f]")))
         self.words = self.texts.filter(F.col("text").rlike(r"[^\x00-\x7f]")).select("doc_id", F.explode(words).alias("word"))
         self.rarer, self.share, self.stretch = rarer, share, stretch
