@@ -63,22 +63,20 @@ def unnatural(word: str) -> bool:
     return bool(latin and (_OTHER.search(word) or (_HAN.search(word) and not _KANA.search(word))))
 
 
+#: How cp1252 differs from Latin-1, which keeps the five bytes that it leaves undefined; and back.
+_WEB = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_WEB_BACK = {ord(c): chr(b) for b, c in _WEB.items()}
+
+
 def _encode(text: str, encoding: str) -> bytes | None:
     try:
-        if encoding == "web-1252":
-            return b"".join(bytes([ord(c)]) if 0x80 <= ord(c) < 0xA0 else c.encode("cp1252") for c in text)
-        return text.encode(encoding)
+        return text.translate(_WEB_BACK).encode("latin-1") if encoding == "web-1252" else text.encode(encoding)
     except UnicodeError:
         return None
 
 
-_KEPT = {b: chr(b) for b in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
-
-
 def _decode(data: bytes, encoding: str) -> str:
-    if encoding == "web-1252":
-        return "".join(_KEPT.get(b) or bytes([b]).decode("cp1252") for b in data) if any(b in _KEPT for b in data) else data.decode("cp1252")
-    return data.decode(encoding, "replace")
+    return data.decode("latin-1").translate(_WEB) if encoding == "web-1252" else data.decode(encoding, "replace")
 
 
 def chains(text: str) -> Iterator[tuple[str, str]]:
@@ -154,9 +152,11 @@ def _shingles(run: str) -> set[str]:
 def _forms(grain: str, text: str) -> dict[tuple[str, str], str]:
     """(grain, form) of a source's garbled forms, with a chain for each."""
     forms: dict[tuple[str, str], str] = {}
+    distinct: dict[str, str] = {}
     for chain, garbled in chains(text):
-        if garbled == text:
-            continue
+        distinct.setdefault(garbled, chain)
+    distinct.pop(text, None)
+    for garbled, chain in distinct.items():
         if grain == "word":
             for form in {garbled.strip(_EDGE), garbled.rstrip("\xa0\x85").strip(_EDGE)}:
                 if form != text and not form.isascii():
