@@ -61,6 +61,14 @@ def test_formatting_duplicates(spark):
     assert len(got) == len(record_model(rows))
 
 
+def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
+    from larkspur.llm import formatting_duplicates as module
+
+    monkeypatch.setattr(module, "_PRIME", 1)  # every hash is 0
+    rows = [(k, q) for k, q in enumerate(QUERIES)]
+    assert {tuple(r) for r in formatting_duplicates(log(spark, rows)).collect()} == record_model(rows)
+
+
 def test_formatting_duplicates_of_an_empty_table(spark):
     assert formatting_duplicates(log(spark, [])).collect() == []
 
@@ -135,6 +143,17 @@ def test_heavy_hitters_of_small_tables(spark):
     assert [r.value for r in hh.heavy_hitters(log(spark, [(1, "x" * 100_000)])).collect()] == ["x" * 100_000]
 
 
+def test_lists_too_long_to_decode_call_for_more_groups():
+    counters = np.zeros((1, 1, 14, 16), np.int64)
+    digests = np.arange(1, 40) * 0x9E3779B97F % (1 << 40)
+    hh.add_to_sketch(counters, digests, np.full(len(digests), 10))
+    assert not hh.decode(counters, 10)[1]
+    wide = np.zeros((3, 256, 14, 16), np.int64)
+    hh.add_to_sketch(wide, digests, np.full(len(digests), 10))
+    found, whole = hh.decode(wide, 10)
+    assert whole and set(digests.tolist()) <= set(found)
+
+
 def test_code_tells_any_two_messages_apart_in_five_symbols():
     rng = np.random.default_rng(0)
     message = rng.integers(0, 1 << 40, 500).astype(np.uint64)
