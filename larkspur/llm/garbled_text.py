@@ -3,11 +3,14 @@
 Every distinct word of the corpus that itself looks sound is garbled under all chains of a wrong encoding (written
 in one, read in another, once or twice over, with undefined bytes kept or replaced). Documents' words are
 hash-joined against this table; a hit is accepted if the form is unnatural or far rarer than its original. Words are
-compared at three grains, each garbled the same way:
+compared at these grains, each garbled the same way:
 
 - whole words (without ASCII punctuation at the ends),
 - the runs of non-ASCII characters in them, as ``’s`` in a name's genitive that occurs only once,
-- for scripts written without spaces, runs of three characters, whose forms are compared by shingles of three.
+- for scripts written without spaces, runs of three characters, whose forms are compared by shingles of three, in the
+  whole run and in each stretch of other scripts that it holds; and, for single garbled words within clean text, pairs
+  of characters, whose whole forms are looked up; a form of two characters tells too little and needs both neighbours, or
+  a third garbled character.
 
 Each distinct word is judged once; only words with a hit are joined back to the documents. Characters that a text
 cites between quotation marks are no words of it.
@@ -49,6 +52,8 @@ _USUAL = re.compile(r"[\x20-\x7e\xa0-\u017f\u0400-\u045f\u2010-\u203a€\u3000-\
 _WHOLE = re.compile(r".+", re.DOTALL)
 #: A stretch without characters of scripts that have no spaces, in which it may be embedded.
 _SEGMENT = re.compile(r"[^\u3001-\u30ff\u3400-\u9fff]+")
+#: Two characters of such a script.
+_PAIR = re.compile(r"[\u3005-\u3007\u3041-\u30ff\u3400-\u9fff]{2}")
 _LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
 _OTHER = re.compile(r"[Ͱ-ۿ฀-๿]")
 _HAN = re.compile(r"[㐀-鿿]")
@@ -143,6 +148,16 @@ def _sources(word: str) -> Iterator[tuple[str, str]]:
         if not spaced:
             for i in range(max(1, len(run) - 2)):
                 yield "three", run[i : i + 3]
+            for window in _windows(run):
+                if _PAIR.fullmatch(window[1:3]):
+                    yield "pair", window[1:3]
+                    yield "bounded", window
+
+
+def _windows(run: str) -> list[str]:
+    """Every two neighbouring characters of a run with those before and after; line feeds stand for its ends."""
+    padded = f"\n{run}\n"
+    return [padded[i : i + 4] for i in range(len(run) - 1)]
 
 
 def _shingles(run: str) -> set[str]:
@@ -152,6 +167,15 @@ def _shingles(run: str) -> set[str]:
 def _forms(grain: str, text: str) -> dict[tuple[str, str], str]:
     """(grain, form) of a source's garbled forms, with a chain for each."""
     forms: dict[tuple[str, str], str] = {}
+    if grain == "bounded":
+        # Longer forms are looked up without neighbours; only encodings of two bytes a character give ones of two.
+        for written in MULTI:
+            data = _encode(text[1:3], written)
+            for read in MULTI if data is not None else ():
+                form = _decode(data, read)
+                if len(form) == 2 and form != text[1:3]:
+                    forms.setdefault((grain, text[0] + form + text[3]), f"{written}>{read}")
+        return forms
     distinct: dict[str, str] = {}
     for chain, garbled in chains(text):
         distinct.setdefault(garbled, chain)
@@ -166,7 +190,14 @@ def _forms(grain: str, text: str) -> dict[tuple[str, str], str]:
                 if form not in text:
                     forms.setdefault(("run", form), chain)
                     forms.setdefault(("run", form.rstrip("\xa0\x85")), chain)
+        elif grain == "pair":
+            # The end of a pair may take in what follows it.
+            for form in (garbled, garbled.rstrip("�")):
+                if len(form) >= 2 and not form.isascii():
+                    forms.setdefault(("pair", form), chain)
         else:
+            if len(text) == len(garbled) == 3 and not garbled.isascii():
+                forms.setdefault(("pair", garbled), chain)
             for run in _RUN.findall(garbled):
                 for form in _shingles(run):
                     forms.setdefault(("three", form), chain)
@@ -188,28 +219,76 @@ def _table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["grain", "form", "original", "chain", "df"])
 
 
+#: Rows that a batch is given out at.
+_ROWS = 20_000
+
+
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What of each word (``word, df``) is looked up: itself, its runs, and the shingles of its longer runs."""
+    """What of each word (``id, word, df``) is looked up: itself, its runs, the shingles of its longer runs, and what may be a pair's form."""
+    columns = ["id", "grain", "form", "run", "parts", "df", "odd"]
     for batch in batches:
-        out = []
-        for word, df in batch.itertuples(index=False):
-            whole = word.strip(_EDGE)
-            if whole and not whole.isascii():
-                out.append((word, "word", whole, 0, 0, df, unnatural(whole)))
-            for k, m in enumerate(_RUN.finditer(word)):
-                run = m.group()
-                # A run is judged with its neighbours.
-                out.append((word, "run", run, k, 0, df, unnatural(word[max(0, m.start() - 1) : m.end() + 1])))
-                if len(run) >= 4:
-                    parts = _shingles(run)
-                    out.extend((word, "three", part, k, len(parts), df, unnatural(part)) for part in parts)
-        yield pd.DataFrame(out, columns=["word", "grain", "form", "run", "parts", "df", "odd"])
+        out: list[tuple] = []
+        for at, word, df in batch.itertuples(index=False):
+            counted: set[tuple[str, str]] = set()
+            for grain, form, run, parts, odd in _of_word(word):
+                # What a word holds several times counts once.
+                out.append((at, grain, form, run, parts, 0 if (grain, form) in counted else df, odd))
+                counted.add((grain, form))
+            if len(out) >= _ROWS:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
+
+
+def _of_word(word: str) -> Iterator[tuple[str, str, int, int, bool]]:
+    whole = word.strip(_EDGE)
+    if whole and not whole.isascii():
+        yield "word", whole, 0, 0, unnatural(whole)
+    for k, m in enumerate(_RUN.finditer(word)):
+        run = m.group()
+        # A run is judged with its neighbours.
+        yield "run", run, k, 0, unnatural(word[max(0, m.start() - 1) : m.end() + 1])
+        if len(run) >= 4:
+            parts = _shingles(run)
+            for part in parts:
+                yield "three", part, k, len(parts), unnatural(part)
+    if _UNSPACED.search(word):
+        for grain, form, k, n in set(_inner(word)):
+            yield grain, form, k, n, unnatural(form)
+
+
+def _inner(word: str) -> Iterator[tuple[str, str, int, int]]:
+    """Grain, form, run and parts of what a word without spaces may hold of garbled text within clean text."""
+    for k, m in enumerate(_SEGMENT.finditer(word)):
+        # A stretch of other scripts is judged by its own shingles; runs have numbers from 0 on.
+        segment = m.group()
+        if len(segment) < len(word) and not segment.isascii():
+            if 2 <= len(segment) <= 24:
+                yield "pair", segment, 0, 0
+            parts = {part for run in _RUN.findall(segment) for part in _shingles(run)}
+            for part in parts:
+                yield "three", part, -1 - k, len(parts)
+    for m in _RUN.finditer(word):
+        run = m.group()
+        for i in range(len(run) - 1):
+            for size in range(2, min(5, len(run) - i) + 1):
+                form = run[i : i + size]
+                if size > 2 or unnatural(form):
+                    yield "pair", form, 0, 0
+        for window in _windows(run):
+            yield "bounded", window, 0, 0
 
 
 def _emit_sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["grain", "text", "df"]
     for batch in batches:
-        out = [(grain, text, df) for word, df in batch.itertuples(index=False) for grain, text in set(_sources(word))]
-        yield pd.DataFrame(out, columns=["grain", "text", "df"])
+        out: list[tuple[str, str, int]] = []
+        for word, df in batch.itertuples(index=False):
+            out.extend((grain, text, df) for grain, text in set(_sources(word)))
+            if len(out) >= _ROWS:
+                yield pd.DataFrame(out, columns=columns)
+                out = []
+        yield pd.DataFrame(out, columns=columns)
 
 
 #: Quoted non-ASCII characters alone, between word boundaries.
@@ -240,17 +319,18 @@ class GarbledText:
         words = F.array_distinct(F.filter(F.split(plain, _BREAK), lambda w: w.rlike(r"[^\x00-\x7f]")))
         self.words = self.texts.filter(F.col("text").rlike(r"[^\x00-\x7f]")).select("doc_id", F.explode(words).alias("word"))
         self.rarer, self.share, self.stretch = rarer, share, stretch
-        self.distinct = cut(self.words.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
+        numbered = self.words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("id", F.monotonically_increasing_id())
+        self.distinct = cut(numbered)
+        # Garbling and looking up take long for few bytes, so the number of tasks follows the words, not the bytes.
+        self.tasks = max(documents.sparkSession.sparkContext.defaultParallelism, self.distinct.count() // 2000)
 
     def table(self) -> DataFrame:
         """``grain, form, df, original, chain, ambiguous`` of every garbled form: its most frequent original."""
-        sources = self.distinct.mapInPandas(_emit_sources, "grain string, text string, df long")
+        sources = self.distinct.select("word", "df").mapInPandas(_emit_sources, "grain string, text string, df long")
         # The byte order mark, which any text may begin with and none shows when read rightly.
         mark = self.distinct.groupBy().agg(F.sum("df").alias("df")).select(F.lit("run").alias("grain"), F.lit("\ufeff").alias("text"), "df")
         sources = sources.unionByName(mark.dropna()).groupBy("grain", "text").agg(F.sum("df").alias("df"))
-        # Garbling takes long for few bytes, so the number of tasks follows the words, not the bytes.
-        tasks = max(self.distinct.sparkSession.sparkContext.defaultParallelism, self.distinct.count() // 2000)
-        forms = sources.repartition(tasks).mapInPandas(_table, "grain string, form string, original string, chain string, df long")
+        forms = sources.repartition(self.tasks).mapInPandas(_table, "grain string, form string, original string, chain string, df long")
         best = F.max(F.struct("df", "original", "chain")).alias("best")
         return (
             forms.groupBy("grain", "form")
@@ -259,9 +339,10 @@ class GarbledText:
         )
 
     def hits(self) -> DataFrame:
-        """The accepted look-ups: ``word, grain, form, run, parts, original, chain, ambiguous``."""
-        pieces = self.distinct.mapInPandas(
-            _pieces, "word string, grain string, form string, run int, parts int, df long, odd boolean"
+        """The accepted look-ups: ``id`` of the word, ``grain, form, run, parts, original, chain, ambiguous``."""
+        # Long words have many pieces, so these carry the word's number.
+        pieces = self.distinct.select("id", "word", "df").repartition(self.tasks).mapInPandas(
+            _pieces, "id long, grain string, form string, run int, parts int, df long, odd boolean"
         )
         # How frequent a piece is over all words that hold it.
         usual = pieces.groupBy("grain", "form").agg(F.sum("df").alias("own"))
@@ -275,14 +356,14 @@ class GarbledText:
         # A single letter can be a word of any language.
         alone = (F.col("grain") == "word") & (size == 1) & F.col("form").rlike(r"\p{L}") & ~foreign
         known = known.filter(~alone).select("grain", "form", "original", "chain", "ambiguous", rare.alias("rare"))
-        found = pieces.select("word", "grain", "form", "run", "parts", "odd").join(known, ["grain", "form"])
+        found = pieces.select("id", "grain", "form", "run", "parts", "odd").join(known, ["grain", "form"])
         return found.filter("odd OR rare").drop("odd", "rare")
 
     def garbled_words(self) -> DataFrame:
-        """``word, original, runs, chain``: each garbled word, with what is known to restore it."""
+        """``word, original, runs, pairs, chains``: each garbled word, with what is known to restore it."""
         shingled = (
             self.hits()
-            .groupBy("word", "grain", "run", F.when(F.col("grain") != "three", F.col("form")).alias("form"))
+            .groupBy("id", "grain", "run", F.when(F.col("grain") != "three", F.col("form")).alias("form"))
             .agg(
                 F.count(F.lit(1)).alias("n"),
                 F.max("parts").alias("parts"),
@@ -292,11 +373,15 @@ class GarbledText:
             )
             .filter((F.col("grain") != "three") | (F.col("n") >= F.least(self.share * F.col("parts"), F.lit(self.stretch))))
         )
-        return shingled.groupBy("word").agg(
+        judged = shingled.groupBy("id").agg(
             F.max(F.when((F.col("grain") == "word") & ~F.col("ambiguous"), F.col("original"))).alias("original"),
             F.collect_list(F.when((F.col("grain") == "run") & ~F.col("ambiguous"), F.struct("form", "original"))).alias("runs"),
+            F.collect_list(
+                F.when(F.col("grain").isin("pair", "bounded") & ~F.col("ambiguous"), F.struct("grain", "form", "original", "chain"))
+            ).alias("pairs"),
             F.array_distinct(F.collect_list("chain")).alias("chains"),
         )
+        return self.distinct.select("id", "word").join(judged, "id").drop("id")
 
     def found(self) -> DataFrame:
         """``doc_id`` of every document with a garbled word."""
@@ -332,7 +417,7 @@ class GarbledText:
         return joined.mapInPandas(rewrite, "doc_id long, restored string, n_garbled int, n_restored int")
 
 
-def _restore(word: str, original: str | None, runs, tried) -> str | None:
+def _restore(word: str, original: str | None, runs, pairs, tried) -> str | None:
     """The original of a garbled word, or None."""
     whole = word.strip(_EDGE)
     if original is not None and not _LOST.search(original):
@@ -346,7 +431,23 @@ def _restore(word: str, original: str | None, runs, tried) -> str | None:
             plain = pattern.sub(lambda m: _undone(m.group(), chain), word)  # noqa: B023
             if plain != word and not unnatural(plain):
                 return plain
-    return None
+    plain = word
+    for pair in pairs:
+        plain = _undone_within(plain, **{k: pair[k] for k in ("grain", "form", "original", "chain")})
+    return plain if plain != word and not unnatural(plain) else None
+
+
+def _undone_within(word: str, grain: str, form: str, original: str, chain: str) -> str:
+    """The word with the garbled stretch that begins with a pair's form undone, or the word itself."""
+    if grain == "bounded":
+        return word.replace(form.strip("\n"), original.strip("\n"))
+    start = word.find(form)
+    # What follows a stretch of UTF-8 is none, so the longest one that can be undone is the stretch.
+    for end in range(min(len(word), start + 200), start + len(form) - 1, -1) if start >= 0 and chain.startswith("utf-8>") else ():
+        plain = _undone(word[start:end], chain)
+        if plain.startswith(original):
+            return word[:start] + plain + word[end:]
+    return word
 
 
 def _undone(text: str, chain: str) -> str:

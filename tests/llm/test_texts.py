@@ -193,3 +193,24 @@ def test_undo_inverts_lossless_chains():
         for chain, form in gt.chains(text):
             if "�" not in form and not chain.startswith(("latin-1>", "mac")) and gt.undo(form, chain) is not None:
                 assert gt.undo(form, chain) == text, chain
+
+
+def test_one_garbled_word_in_a_long_run_without_spaces(spark):
+    sentence = "{}昨日の{}は検索の設定が原因でした。新しい版では辞書と端末が同時に更新されます。"
+    numbers = "一二三四五六七八九十百千"
+    rows = [sentence.format(f"第{n}回、", word) for n in numbers for word in ("障害", "更新障害")]
+    bad = {}
+    for word in ("障害", "更新障害"):
+        for chain, form in gt.chains(word):
+            if form != word and not form.isascii():
+                bad.setdefault(sentence.format("", form), (chain, sentence.format("", word)))
+    texts = [*rows, *bad]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    operator = gt.GarbledText(frame)
+    got = {r.doc_id: r.restored for r in operator.restored().collect()}
+    assert [texts[i] for i in got if i < len(rows)] == []
+    assert [(bad[t][0], t[:16]) for i, t in enumerate(texts) if t in bad and i not in got] == []
+    for chain in ("utf-8>cp1252", "utf-8>gb18030", "euc-jp>latin-1"):
+        for i, text in enumerate(texts):
+            if text in bad and bad[text][0] == chain and "\ufffd" not in text:
+                assert got[i] == bad[text][1], chain
