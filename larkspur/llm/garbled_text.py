@@ -12,6 +12,11 @@ compared at these grains, each garbled the same way:
   of characters, whose whole forms are looked up; a form of two characters tells too little and needs both neighbours, or
   a third garbled character.
 
+Where garbled and clean spelling are about as frequent, a document's words tell together: it is garbled if its letters fit
+no language's alphabet, but do with the words that one chain explains put right (or if that puts several words in capitals
+into small letters). What is explained so does not count as use of a word. A form is far rarer if it is
+so in rows or in distinct texts, as either may be copies.
+
 Each distinct word is judged once; only words with a hit are joined back to the documents. Characters that a text
 cites between quotation marks are no words of it.
 """
@@ -19,10 +24,12 @@ cites between quotation marks are no words of it.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions.lineage import cut
@@ -68,6 +75,30 @@ def unnatural(word: str) -> bool:
     return bool(latin and (_OTHER.search(word) or (_HAN.search(word) and not _KANA.search(word))))
 
 
+#: The letters besides a to z of languages, small.
+_ALPHABETS = (
+    "àâæçéèêëîïôœùûüÿ", "äöüßé", "áéíóúüñºª", "áâãàçéêíóôõúüºª", "àèéìíîòóùú", "ąćęłńóśźż", "áčďéěíňóřšťúůýž", "áäčďéíĺľňóôŕšťúýž",
+    "áéíóöőúüű", "ăâîșțşţ", "čćđšž", "çğıöşüâîû", "åäöæøé", "áéèêëïíóôöúü", "àçèéíïòóúü", "ąčęėįšųūž", "āčēģīķļņšūž", "äõöüšž",
+    "áðéíóúýþæö", "абвгдеёжзийклмнопрстуфхцчшщъыьэюя", "абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "абвгдеёжзійклмнопрстуўфхцчшыьэюя",
+    "абвгдђежзијклљмнњопрстћуфхцчџш",
+)
+_ANY = (1 << len(_ALPHABETS)) - 1
+_LETTERS: dict[str, int] = defaultdict(int)
+for _bit, _letters in enumerate(_ALPHABETS):
+    for _c in _letters:
+        _LETTERS[_c] |= 1 << _bit
+#: Letters that may belong to an alphabet here; those of other scripts tell nothing.
+_JUDGED = re.compile(r"[ªºÀ-ÖØ-öø-ɏЀ-џҐґ]")
+
+
+def languages(word: str) -> int:
+    """A bit for each alphabet that has all letters of a word."""
+    bits = _ANY
+    for c in set(_JUDGED.findall(word.lower())):
+        bits &= _LETTERS.get(c, 0)
+    return bits
+
+
 #: How cp1252 differs from Latin-1, which keeps the five bytes that it leaves undefined; and back.
 _WEB = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
 _WEB_BACK = {ord(c): chr(b) for b, c in _WEB.items()}
@@ -209,14 +240,14 @@ def _forms(grain: str, text: str) -> dict[tuple[str, str], str]:
 
 
 def _table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The garbled forms of sources (``grain, text, df``)."""
+    """The garbled forms of sources (``grain, text, df, texts``)."""
     for batch in batches:
         for start in range(0, len(batch), 500):
             out = []
-            for grain, text, df in batch.iloc[start : start + 500].itertuples(index=False):
+            for grain, text, df, texts in batch.iloc[start : start + 500].itertuples(index=False):
                 if not looks_garbled(text):
-                    out.extend((g, form, text, chain, df) for (g, form), chain in _forms(grain, text).items())
-            yield pd.DataFrame(out, columns=["grain", "form", "original", "chain", "df"])
+                    out.extend((g, form, text, chain, df, texts) for (g, form), chain in _forms(grain, text).items())
+            yield pd.DataFrame(out, columns=["grain", "form", "original", "chain", "df", "texts"])
 
 
 #: Rows that a batch is given out at.
@@ -224,15 +255,16 @@ _ROWS = 20_000
 
 
 def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What of each word (``id, word, df``) is looked up: itself, its runs, the shingles of its longer runs, and what may be a pair's form."""
-    columns = ["id", "grain", "form", "run", "parts", "df", "odd"]
+    """What of each word (``id, word, df, texts``) is looked up: itself, its runs, the shingles of its longer runs, and what may be a pair's form."""
+    columns = ["id", "grain", "form", "run", "parts", "df", "texts", "odd"]
     for batch in batches:
         out: list[tuple] = []
-        for at, word, df in batch.itertuples(index=False):
+        for at, word, df, texts in batch.itertuples(index=False):
             counted: set[tuple[str, str]] = set()
             for grain, form, run, parts, odd in _of_word(word):
                 # What a word holds several times counts once.
-                out.append((at, grain, form, run, parts, 0 if (grain, form) in counted else df, odd))
+                again = (grain, form) in counted
+                out.append((at, grain, form, run, parts, 0 if again else df, 0 if again else texts, odd))
                 counted.add((grain, form))
             if len(out) >= _ROWS:
                 yield pd.DataFrame(out, columns=columns)
@@ -280,17 +312,50 @@ def _inner(word: str) -> Iterator[tuple[str, str, int, int]]:
 
 
 def _emit_sources(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["grain", "text", "df"]
+    columns = ["grain", "text", "df", "texts"]
     for batch in batches:
-        out: list[tuple[str, str, int]] = []
-        for word, df in batch.itertuples(index=False):
-            out.extend((grain, text, df) for grain, text in set(_sources(word)))
+        out: list[tuple[str, str, int, int]] = []
+        for word, df, texts in batch.itertuples(index=False):
+            out.extend((grain, text, df, texts) for grain, text in set(_sources(word)))
             if len(out) >= _ROWS:
                 yield pd.DataFrame(out, columns=columns)
                 out = []
         yield pd.DataFrame(out, columns=columns)
 
 
+def _fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The languages of each word (``id, word``) and, if it is a form, of its original (``form, original, chain``)."""
+    for batch in batches:
+        out = []
+        for at, word, form, original, chain in batch.itertuples(index=False):
+            known = original is not None and not unnatural(original) and not looks_garbled(original)
+            # Signs alone tell nothing of a language.
+            known = known and bool(_JUDGED.search(form + original))
+            small = known and len(form) >= 3 and form.isupper() and original.islower()
+            out.append((at, languages(word), languages(original) if known else 0, bool(small), chain if known else None))
+        yield pd.DataFrame(out, columns=["id", "bits", "right", "small", "chain"])
+
+
+def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The words (``id``) of each document (``doc_id, text_hash, words``) that are garbled judged together."""
+    for batch in batches:
+        out = []
+        for doc_id, text_hash, words in batch.itertuples(index=False):
+            whole, best = _ANY, []
+            for w in words:
+                whole &= w["bits"]
+            for chain in sorted({w["chain"] for w in words if w["chain"] is not None}):
+                own = [w["id"] for w in words if w["chain"] == chain]
+                right = _ANY
+                for w in words:
+                    right &= w["right"] if w["chain"] == chain else w["bits"]
+                small = [w["id"] for w in words if w["chain"] == chain and w["small"]]
+                found = own if whole == 0 and right != 0 and len(own) >= 2 else small if len(small) >= 3 else []
+                best = max(best, found, key=len)
+            out.extend((doc_id, text_hash, at) for at in best)
+        yield pd.DataFrame(out, columns=["doc_id", "text_hash", "id"])
+
+
 #: Quoted non-ASCII characters alone, between word boundaries.
 _CITED = (
     r'(?<![^\s(\[>])(?:"[^\x00-\x7f]{1,8}"|[“„«‹‘]\s?[^\x00-\x7f]{1,8}?\s?[”“»›’])(?![^\s.,;:!?)\]<])'
@@ -308,8 +373,8 @@ class GarbledText:
     """Garbled words of the documents, and the documents that hold them.
 
     A word is a run without ASCII whitespace and HTML tags. Null ids and texts are left out, empty texts hold nothing; a document
-    whose row is repeated counts once. Empty tables give empty results. ``rarer`` is how many times rarer than
-    its original a garbled form must be that looks like a word of some language. ``share`` is the part of a long run's
+    whose row is repeated counts once. Empty tables give empty results. ``rarer`` is in how many times fewer rows or distinct texts than
+    its original a garbled form must be that looks like a word of some language, apart from documents whose words tell together. ``share`` is the part of a long run's
     shingles that must be garbled forms, or ``stretch`` of them. Whole texts of all documents are read; the distinct words are checkpointed.
     """
 
@@ -317,53 +382,95 @@ class GarbledText:
         self.texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropna()
         plain = F.when(F.col("text").rlike(_MAYBE_CITED), F.regexp_replace("text", _CITED, " ")).otherwise(F.col("text"))
         words = F.array_distinct(F.filter(F.split(plain, _BREAK), lambda w: w.rlike(r"[^\x00-\x7f]")))
-        self.words = self.texts.filter(F.col("text").rlike(r"[^\x00-\x7f]")).select("doc_id", F.explode(words).alias("word"))
+        self.words = self.texts.filter(F.col("text").rlike(r"[^\x00-\x7f]")).select(
+            "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(words).alias("word")
+        )
         self.rarer, self.share, self.stretch = rarer, share, stretch
-        numbered = self.words.groupBy("word").agg(F.count(F.lit(1)).alias("df")).withColumn("id", F.monotonically_increasing_id())
+        numbered = self.words.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.count_distinct("text_hash").alias("texts"))
+        numbered = numbered.withColumn("id", F.monotonically_increasing_id())
         self.distinct = cut(numbered)
         # Garbling and looking up take long for few bytes, so the number of tasks follows the words, not the bytes.
         self.tasks = max(documents.sparkSession.sparkContext.defaultParallelism, self.distinct.count() // 2000)
 
     def table(self) -> DataFrame:
-        """``grain, form, df, original, chain, ambiguous`` of every garbled form: its most frequent original."""
-        sources = self.distinct.select("word", "df").mapInPandas(_emit_sources, "grain string, text string, df long")
+        """``grain, form, df, texts, original, chain, ambiguous`` of every garbled form: its most frequent original."""
+        sources = self.distinct.select("word", "df", "texts").mapInPandas(_emit_sources, "grain string, text string, df long, texts long")
         # The byte order mark, which any text may begin with and none shows when read rightly.
-        mark = self.distinct.groupBy().agg(F.sum("df").alias("df")).select(F.lit("run").alias("grain"), F.lit("\ufeff").alias("text"), "df")
-        sources = sources.unionByName(mark.dropna()).groupBy("grain", "text").agg(F.sum("df").alias("df"))
-        forms = sources.repartition(self.tasks).mapInPandas(_table, "grain string, form string, original string, chain string, df long")
-        best = F.max(F.struct("df", "original", "chain")).alias("best")
+        sums = F.sum("df").alias("df"), F.sum("texts").alias("texts")
+        mark = self.distinct.groupBy().agg(*sums).select(F.lit("run").alias("grain"), F.lit("\ufeff").alias("text"), "df", "texts")
+        sources = sources.unionByName(mark.dropna()).groupBy("grain", "text").agg(*sums)
+        forms = sources.repartition(self.tasks).mapInPandas(_table, "grain string, form string, original string, chain string, df long, texts long")
+        best = F.max(F.struct("df", "original", "chain", "texts")).alias("best")
         return (
             forms.groupBy("grain", "form")
             .agg(best, F.sum("df").alias("total"))
-            .select("grain", "form", "best.df", "best.original", "best.chain", (F.col("best.df") < 0.6 * F.col("total")).alias("ambiguous"))
+            .select("grain", "form", "best.df", "best.texts", "best.original", "best.chain", (F.col("best.df") < 0.6 * F.col("total")).alias("ambiguous"))
         )
 
-    def hits(self) -> DataFrame:
-        """The accepted look-ups: ``id`` of the word, ``grain, form, run, parts, original, chain, ambiguous``."""
+    @cached_property
+    def looked_up(self) -> DataFrame:
+        """The pieces that are garbled forms: ``id`` of the word, ``grain, form, run, parts, odd, own, own_texts, df, texts, original, chain, ambiguous``."""
         # Long words have many pieces, so these carry the word's number.
-        pieces = self.distinct.select("id", "word", "df").repartition(self.tasks).mapInPandas(
-            _pieces, "id long, grain string, form string, run int, parts int, df long, odd boolean"
+        pieces = self.distinct.select("id", "word", "df", "texts").repartition(self.tasks).mapInPandas(
+            _pieces, "id long, grain string, form string, run int, parts int, df long, texts long, odd boolean"
         )
         # How frequent a piece is over all words that hold it.
-        usual = pieces.groupBy("grain", "form").agg(F.sum("df").alias("own"))
+        usual = pieces.groupBy("grain", "form").agg(F.sum("df").alias("own"), F.sum("texts").alias("own_texts"))
         known = usual.join(self.table(), ["grain", "form"])
+        return cut(pieces.select("id", "grain", "form", "run", "parts", "odd").join(known, ["grain", "form"]))
+
+    @cached_property
+    def together(self) -> DataFrame:
+        """``doc_id, text_hash, id`` of the words that are garbled as the document's words tell together."""
+        forms = self.looked_up.filter("grain = 'word'").select("id", "form", "original", "chain")
+        fit = (
+            self.distinct.join(forms, "id", "left")
+            .select("id", "word", "form", "original", "chain")
+            .mapInPandas(_fit, "id long, bits long, right long, small boolean, chain string")
+            .filter(F.col("chain").isNotNull() | (F.col("bits") != _ANY))
+        )
+        numbered = fit.join(self.distinct.select("id", "word"), "id")
+        documents = self.words.join(numbered, "word").groupBy("doc_id", "text_hash")
+        word = F.struct("id", "bits", "right", "small", "chain")
+        candidates = (F.bit_and("bits") == 0) | (F.count_if("small") >= 3)
+        judged = documents.agg(F.collect_list(word).alias("words"), candidates.alias("candidate")).filter("candidate")
+        return cut(
+            judged.filter(F.exists("words", lambda w: w["chain"].isNotNull()))
+            .select("doc_id", "text_hash", "words")
+            .mapInPandas(_together, "doc_id long, text_hash long, id long")
+        )
+
+    def hits(self) -> DataFrame:
+        """The accepted look-ups: ``id`` of the word, ``grain, form, run, parts, original, chain, ambiguous``."""
+        # Texts in which the use of a form is already explained are none that use it as a word.
+        words = self.looked_up.filter("grain = 'word'").select("id", "form")
+        explained = self.together.join(words, "id").groupBy("form").agg(
+            F.count_distinct("doc_id").alias("explained"), F.count_distinct("text_hash").alias("explained_texts")
+        )
+        known = self.looked_up.join(explained.withColumn("grain", F.lit("word")), ["grain", "form"], "left")
+
+        def rarer(times: int) -> Column:
+            rows = F.col("own") - F.coalesce("explained", F.lit(0))
+            texts = F.col("own_texts") - F.coalesce("explained_texts", F.lit(0))
+            return (F.col("df") >= times * rows) | (F.col("texts") >= times * texts)
+
         size = F.length("form")
         # Short forms tell little, unless they hold symbols, are longer than their original or of another script.
         foreign = F.col("form").rlike(r"^\p{IsHan}$") & ~F.col("original").rlike(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]")
         two = (size == 2) & (F.col("form").rlike(r"[^\p{L}\p{M}\p{N}]") | (F.length("original") == 1))
-        rare = (F.col("df") >= self.rarer * F.col("own")) & ((size >= 3) | two)
-        rare = rare | (foreign & (F.col("df") >= 2 * self.rarer * F.col("own")))
+        rare = rarer(self.rarer) & ((size >= 3) | two)
+        rare = rare | (foreign & rarer(2 * self.rarer))
         # A single letter can be a word of any language.
         alone = (F.col("grain") == "word") & (size == 1) & F.col("form").rlike(r"\p{L}") & ~foreign
-        known = known.filter(~alone).select("grain", "form", "original", "chain", "ambiguous", rare.alias("rare"))
-        found = pieces.select("id", "grain", "form", "run", "parts", "odd").join(known, ["grain", "form"])
-        return found.filter("odd OR rare").drop("odd", "rare")
+        return known.filter(~alone).filter(F.col("odd") | rare).drop("odd", "own", "own_texts", "df", "texts", "explained", "explained_texts")
 
     def garbled_words(self) -> DataFrame:
         """``word, original, runs, pairs, chains``: each garbled word, with what is known to restore it."""
+        return self._put_together(self.hits())
+
+    def _put_together(self, hits: DataFrame) -> DataFrame:
         shingled = (
-            self.hits()
-            .groupBy("id", "grain", "run", F.when(F.col("grain") != "three", F.col("form")).alias("form"))
+            hits.groupBy("id", "grain", "run", F.when(F.col("grain") != "three", F.col("form")).alias("form"))
             .agg(
                 F.count(F.lit(1)).alias("n"),
                 F.max("parts").alias("parts"),
@@ -385,7 +492,8 @@ class GarbledText:
 
     def found(self) -> DataFrame:
         """``doc_id`` of every document with a garbled word."""
-        return self.words.join(self.garbled_words().select("word"), "word", "left_semi").select("doc_id").distinct()
+        own = self.words.join(self.garbled_words().select("word"), "word", "left_semi").select("doc_id")
+        return own.unionByName(self.together.select("doc_id")).distinct()
 
     def restored(self) -> DataFrame:
         """``doc_id, restored, n_garbled, n_restored`` of every document with a garbled word.
@@ -401,7 +509,12 @@ class GarbledText:
                 )
 
         fixes = self.garbled_words().mapInPandas(fix, "word string, fixed string")
-        own = self.words.join(fixes, "word").groupBy("doc_id").agg(F.collect_list(F.struct("word", "fixed")).alias("fixes"))
+        own = self.words.select("doc_id", "word").join(fixes, "word")
+        # Words that are garbled only in these documents.
+        jointly = self.looked_up.filter("grain = 'word'").join(self.together.select("id").distinct(), "id", "left_semi")
+        others = self._put_together(jointly).mapInPandas(fix, "word string, fixed string").join(self.distinct.select("id", "word"), "word")
+        own = own.unionByName(self.together.join(others, "id").select("doc_id", "word", "fixed"))
+        own = own.groupBy("doc_id", "word").agg(F.max("fixed").alias("fixed")).groupBy("doc_id").agg(F.collect_list(F.struct("word", "fixed")).alias("fixes"))
 
         def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:

@@ -214,3 +214,25 @@ def test_one_garbled_word_in_a_long_run_without_spaces(spark):
         for i, text in enumerate(texts):
             if text in bad and bad[text][0] == chain and "\ufffd" not in text:
                 assert got[i] == bad[text][1], chain
+
+
+def test_a_third_of_the_rows_garbled_into_letters_of_other_languages(spark):
+    french = "Le {} système a été mis à jour très tôt, même la première tâche reçoit déjà un numéro {}."
+    spanish = "El {} pequeño módulo cambió después de un año, según la última versión {}."
+    portuguese = "Não apague a configuração {}: às vezes as informações já estão lá, à direita {}."
+    russian = "После сбоя сервер {} хранит копию данных каждую ночь, если поиск работает {}."
+    clean = [t.format(k, k) for k in range(6) for t in (french, spanish, portuguese, russian)]
+    polish = ["Zespół znalazł błąd, a pamięć działa świetnie.", "Ďakujem, ešte ráno sme mali štyri vŕby pri ceste."]
+    to_1250 = lambda t: t.encode("latin-1").decode("cp1250")
+    copies = [to_1250(french.format("x", "x"))] * 10
+    hot = [to_1250(t.format(f"y{k}", k)) for k in range(12) for t in (french, portuguese, spanish)]
+    small = ["По словам " + russian.format(k, k)[6:].encode("koi8-r").decode("cp1251") for k in range(20)]
+    for bad in (copies, hot, small):
+        texts = clean + polish + bad
+        frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        operator = gt.GarbledText(frame)
+        first = len(clean + polish)
+        assert sorted(r.doc_id for r in operator.found().collect()) == list(range(first, len(texts)))
+        if bad is not small:
+            got = {r.doc_id: r.restored for r in operator.restored().collect()}
+            assert all(to_1250(got[i]) == texts[i] and got[i] != texts[i] for i in range(first, len(texts)))
