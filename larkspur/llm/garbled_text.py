@@ -125,7 +125,7 @@ def chains(text: str) -> Iterator[tuple[str, str]]:
         for twice in TWICE:
             yield f"utf-8>{once}>utf-8>{twice}", _decode(data, twice)
     for written in (*SINGLE, *MULTI):
-        if written in ("web-1252", "iso8859-15"):
+        if written == "web-1252":
             continue
         data = _encode(text, written)
         if data is not None:

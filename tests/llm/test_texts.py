@@ -236,3 +236,13 @@ def test_a_third_of_the_rows_garbled_into_letters_of_other_languages(spark):
         if bad is not small:
             got = {r.doc_id: r.restored for r in operator.restored().collect()}
             assert all(to_1250(got[i]) == texts[i] and got[i] != texts[i] for i in range(first, len(texts)))
+
+
+def test_text_written_in_iso8859_15(spark):
+    clean = ["Das kostet €35 im Jahr {}.", "Pan Škoda czeka {}.", "Sa sœur a bon cœur {}.", "It costs {} a month."]
+    rows = [t.format(k) for k in range(8) for t in clean]
+    bad = ["It still costs ¤35 a month.", "It was ¦koda who called.", "C’est un c½ur ouvert."]
+    frame = spark.createDataFrame(list(enumerate(rows + bad)), "doc_id long, text string")
+    got = {r.doc_id: r.restored for r in gt.GarbledText(frame).restored().collect()}
+    assert sorted(got) == [len(rows), len(rows) + 1, len(rows) + 2]
+    assert [got[i] for i in sorted(got)] == ["It still costs €35 a month.", "It was Škoda who called.", "C’est un cœur ouvert."]
