@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.lineage import cut
+
 _WIDTH = 64
 #: Keys a block gets on average, and its slots; what exceeds the slots is kept exactly.
 _BLOCK_KEYS, _SLOTS = 448, 512
@@ -128,7 +130,7 @@ class SeenBefore:
     An arrival needs a non-null order; rows with a null order have no place in the stream and are left out. A null
     key was never seen. Repeated rows with one order do not see each other. ``generation_rows`` and ``generations``
     bound the filters: arrivals are cut into generations of that many rows, but no more than ``generations``;
-    ``shard_keys`` bounds the keys a task holds. Empty tables give empty results. Other columns are not read.
+    ``shard_keys`` bounds the keys a task holds. Empty tables give empty results. Other columns are not read. The probes are checkpointed.
     """
 
     def __init__(
@@ -215,12 +217,11 @@ class SeenBefore:
 
     def confirmed(self, filters: DataFrame) -> DataFrame:
         """``probed`` with ``earlier``: whether the key is in an earlier generation, known exactly. Only a yes is looked up."""
+        # Used twice, and probing takes long.
+        probed = cut(self.probed(filters))
         born = self.keys.groupBy("key").agg(F.min("generation").alias("born"))
-        return (
-            self.probed(filters)
-            .join(born, "key", "left")
-            .withColumn("earlier", (F.col("yes") > 0) & (F.col("born") < F.col("generation")))
-        )
+        asked = probed.filter("yes > 0").join(born, "key", "left").withColumn("earlier", F.coalesce(F.col("born") < F.col("generation"), F.lit(False)))
+        return asked.unionByName(probed.filter("yes = 0").withColumns({"born": F.lit(None).cast("int"), "earlier": F.lit(False)}))
 
     def answers(self) -> DataFrame:
         """``arrival, key, seen`` for every arrival. Joined within generations, so a frequent key is spread over all of them."""

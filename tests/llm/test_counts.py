@@ -203,6 +203,15 @@ def test_seen_before(spark):
     assert 0 < report[0].audit_rate < 0.2
 
 
+def test_only_a_yes_is_looked_up(spark):
+    stored, incoming = [(k,) for k in range(200)], [(k, k) for k in range(100, 400)]
+    seen = SeenBefore(spark.createDataFrame(stored, "id long"), spark.createDataFrame(incoming, "arrival_no long, id long"), generation_rows=50)
+    rows = seen.confirmed(seen.filters()).collect()
+    assert sorted(r.key for r in rows) == list(range(100, 400))
+    assert [r.key for r in rows if r.yes == 0 and r.born is not None] == []
+    assert {r.key for r in rows if r.earlier} == set(range(100, 200))
+
+
 def test_seen_before_with_empty_tables(spark):
     ids, arrivals = spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([(1, 1), (2, 5)], "arrival_no long, id long")
     assert {r.arrival: r.seen for r in SeenBefore(ids, arrivals).answers().collect()} == {1: True, 2: False}
