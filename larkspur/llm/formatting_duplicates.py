@@ -4,7 +4,8 @@ A record is a line of text: either a plain phrase, or, when it holds ``=``, a li
 fields joined by ``&``. Every (name, value) pair is normalised and hashed; the hashes are *added* in two
 prime fields, so the fingerprint of a record is a hash of the multiset of its fields that no order of the
 fields changes and that no sort is needed for. Records are grouped by fingerprint, and each is then
-compared field by field with its group's representative, again without sorting: two lists are the same
+compared field by field with its group's representative, again without sorting (but see ``_same_multiset`` for long
+lists with repeats): two lists are the same
 multiset if they have the same length and the same distinct fields, each with the same multiplicity.
 A record that fails the comparison (a hash collision) is regrouped on its exact fields.
 
