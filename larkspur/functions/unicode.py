@@ -17,12 +17,23 @@ def split_words(text: Column, separators: str) -> Column:
     return F.filter(F.split(text, f"[{separators}]+"), lambda w: w != "")
 
 
+def _fold_table() -> dict[str, str]:
+    """Characters whose case folding to one character is not what lower-casing gives, as final sigma and the long s."""
+    table = {}
+    for c in map(chr, range(0x80, 0x2000)):
+        folded = c.casefold() if len(c.casefold()) == 1 else c
+        if len(folded.lower()) == 1 == len(c.lower()) and folded.lower() != c.lower():
+            table[c.lower()] = folded.lower()
+    return table
+
+
+_FOLDED = _fold_table()
+
+
 def fold(text: Column) -> Column:
-    """Case-folded text: equal for strings that differ only in letter case, ``ß`` and ``SS`` included.
+    """Text without letter case, by Unicode's simple case folding: one letter to one letter.
 
-    Lower-casing alone keeps ``ß`` apart from the ``SS`` it is written as in capitals, so the text is
-    upper-cased first. The replacement in between maps the capital sharp s, and also keeps the
-    optimizer from dropping the inner conversion.
+    So final sigma equals sigma and the capital sharp s the small one, but ``ß`` is not ``ss``, and the dotless ``ı``
+    is not ``i``: these are different letters, not cases of one.
     """
-    upper = F.replace(F.upper(text), F.lit("ẞ"), F.lit("SS"))
-    return F.translate(F.lower(upper), "ς", "σ")
+    return F.translate(F.lower(text), "".join(_FOLDED), "".join(_FOLDED.values()))
