@@ -3,18 +3,22 @@
 A record is a line of text: either a plain phrase, or, when it holds ``=``, a list of ``name=value``
 fields joined by ``&``. Every (name, value) pair is normalised and hashed; the hashes are *added* in two
 prime fields, so the fingerprint of a record is a hash of the multiset of its fields that no order of the
-fields changes and that no sort is needed for. Records are grouped by fingerprint, and each is then
-compared field by field with its group's representative, again without sorting (but see ``_same_multiset`` for long
-lists with repeats): two lists are the same
-multiset if they have the same length and the same distinct fields, each with the same multiplicity.
+fields changes and that no sort is needed for. Records are grouped by fingerprint. Where a group has several
+spellings, each is compared field by field with the group's representative, again without sorting: two lists
+are the same multiset if they have the same length and the same distinct fields, each equally often.
 A record that fails the comparison (a hash collision) is regrouped on its exact fields.
 
 The work follows the distinct spellings: copies are collapsed by partial aggregation before anything is
-shuffled by spelling or fingerprint, so a spelling that holds a third of all rows is one row by then.
+shuffled by spelling or fingerprint, so a spelling that holds a third of all rows is one row by then. A
+fingerprint with very many spellings is compared where its spellings lie: the join brings one row, the
+representative, to them, and splits them if they are many.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,20 +60,20 @@ def _lane(items: Column, seed: str) -> Column:
     return F.aggregate(items, F.lit(0).cast("long"), step)
 
 
-def _same_multiset(a: Column, b: Column) -> Column:
-    """Whether two lists hold the same fields equally often. Lists without repeats are compared as sets, others by
-    multiplicities; long lists with repeats, where that would be quadratic, in sorted order."""
-    distinct = F.array_distinct(a)
-    same_set = (F.size(distinct) == F.size(F.array_distinct(b))) & (F.size(F.array_except(a, b)) == 0)
-    repeated = F.forall(distinct, lambda x: F.size(F.filter(a, lambda y: y == x)) == F.size(F.filter(b, lambda y: y == x)))
-    counted = F.when(F.size(a) <= 200, repeated).otherwise(F.array_sort(a) == F.array_sort(b))
-    return (F.size(a) == F.size(b)) & same_set & ((F.size(distinct) == F.size(a)) | counted)
+def _equally_often(a: Column, b: Column) -> Column:
+    """Whether two lists hold the same fields equally often, counted in a hash map; null for nulls."""
+
+    def compare(xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else Counter(x) == Counter(y) for x, y in zip(xs, ys)], dtype=object)
+
+    return F.pandas_udf(compare, "boolean")(a, b)
 
 
 def formatting_duplicates(log: DataFrame, id_col: str = "id", text_col: str = "query") -> DataFrame:
     """One row for each set of equal records: ``first_id, n_copies, n_spellings, example``.
 
-    ``n_copies`` counts distinct ids; ``first_id`` is the smallest; ``example`` is the smallest spelling.
+    ``n_copies`` counts distinct ids; ``first_id`` is the smallest; ``example`` is the smallest spelling. Letter case is
+    ignored letter by letter: ``ß`` is not ``SS``, ``ı`` not ``i``.
     Rows with a null id or text, and texts without letter or digit, are no records. Rows delivered more than
     once (same id, same text) count once. An empty table gives an empty result. Other columns are not read. The distinct spellings are checkpointed when called.
     """
@@ -81,25 +85,39 @@ def formatting_duplicates(log: DataFrame, id_col: str = "id", text_col: str = "q
         .agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .withColumn("fields", fields(F.col("text")))
     )
-    hashed = spellings.select(
-        *(_lane(F.col("fields"), s).alias(f"lane{i}") for i, s in enumerate(_SEEDS)),
-        F.when(F.contains("text", F.lit("=")), F.size("fields")).otherwise(-1).alias("width"),
-        "text",
-        "fields",
-        "first_id",
-        "n",
+    # Needed again, for the representatives and for the comparison with them, under the same numbers.
+    hashed = cut(
+        spellings.select(
+            *(_lane(F.col("fields"), s).alias(f"lane{i}") for i, s in enumerate(_SEEDS)),
+            F.when(F.contains("text", F.lit("=")), F.size("fields")).otherwise(-1).alias("width"),
+            F.monotonically_increasing_id().alias("number"),
+            (F.size(F.array_distinct("fields")) < F.size("fields")).alias("repeats"),
+            "text",
+            "fields",
+            "first_id",
+            "n",
+        )
     )
-    # Needed twice, for the representatives and for the comparison with them.
-    hashed = cut(hashed)
     key = ["lane0", "lane1", "width"]
-    chosen = hashed.groupBy(*key).agg(F.min(F.struct("text", "fields")).alias("chosen"))
-    # A group that collides on the fingerprint is told apart by its exact fields; only those are sorted.
-    checked = hashed.join(chosen, key).withColumn(
-        "apart",
-        F.when(~_same_multiset(F.col("fields"), F.col("chosen.fields")), F.array_join(F.array_sort("fields"), "&")),
+    groups = hashed.groupBy(*key).agg(F.min("number").alias("chosen"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    # One row a group of several spellings; a shuffled hash join needs no sort, and a group much larger than others is split.
+    model = (
+        hashed.join(groups.hint("shuffle_hash"), key)
+        .filter("number = chosen")
+        .select(*key, F.col("fields").alias("model"), F.col("repeats").alias("model_repeats"))
     )
+    both = hashed.join(model.hint("shuffle_hash"), key, "left")
+    alike = (F.size("fields") == F.size("model")) & (F.col("repeats") == F.col("model_repeats"))
+    as_sets = (F.size(F.array_except("fields", "model")) == 0) & (F.size(F.array_except("model", "fields")) == 0)
+    # Only lists with repeats go to Python, others as nulls.
+    counted = _equally_often(F.when(alike & F.col("repeats"), F.col("fields")), F.when(alike & F.col("repeats"), F.col("model")))
+    equal = F.col("model").isNull() | (alike & F.when(F.col("repeats"), counted).otherwise(as_sets))
+    # Groups that collide on the fingerprint are told apart by their exact fields; only those are sorted.
+    apart = F.when(~F.col("equal"), F.array_join(F.array_sort("fields"), "&"))
     return (
-        checked.groupBy(*key, "apart")
+        both.withColumn("equal", equal)
+        .select(*key, apart.alias("apart"), "first_id", "n", "text")
+        .groupBy(*key, "apart")
         .agg(
             F.min("first_id").alias("first_id"),
             F.sum("n").alias("n_copies"),

@@ -114,7 +114,7 @@ _WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 
 
 def _words(text: str) -> str:
-    folded = f"replace(lower(replace(replace({text}, 'ß', 'ss'), 'ẞ', 'ss')), 'ς', 'σ')"
+    folded = f"replace(lower({text}), 'ς', 'σ')"
     return rf"trim(regexp_replace({folded}, '[{_WS}\p{{P}}]+', ' ', 'g'))"
 
 

@@ -17,7 +17,8 @@ from larkspur.llm.term_frequency import RadixSpill, term_frequency
 
 
 def words(text):
-    return tuple("".join(" " if c.isspace() or unicodedata.category(c)[0] == "P" else c for c in text.casefold()).split())
+    folded = "".join(c.casefold() if len(c.casefold()) == 1 else c.lower() for c in text)
+    return tuple("".join(" " if c.isspace() or unicodedata.category(c)[0] == "P" else c for c in folded).split())
 
 
 def key(query):
@@ -47,7 +48,7 @@ def log(spark, rows):
 
 
 QUERIES = [
-    "Foo  bar", "foo-bar!", "FOO BAR", "bar foo", "foobar", "größer", "GRÖSSER", "q=Foo&page=2", "page = 2 & Q=foo", "page=2&q=foo&q=foo",
+    "Foo  bar", "foo-bar!", "FOO BAR", "bar foo", "foobar", "größer", "GRÖSSER", "GRÖẞER", "kapı", "kapi", "KAPI", "q=Foo&page=2", "page = 2 & Q=foo", "page=2&q=foo&q=foo",
     "q=foo&q=foo&page=2", "q=foo&page=2&", "q foo page 2", "q&page=2", "q=&page=2", "a=b=c", "a = b=c", "a=c=b", "=", "&=&", "", " ", "...", None, "é", "é",
     "x " * 20_000, "X-" * 20_000, "k=v&" * 3000, "&k = V" * 3000, "1", "１", "page=1&page=2", "page=2&page=1", "a&b=c", "b=c&a",
     "&".join(f"f{k}=v" for k in range(5000)) + "&f1=v", "f1=v&" + "&".join(f"F{k} = v" for k in range(4999, -1, -1)),
