@@ -6,19 +6,25 @@ asks that the XOR of the slots chosen by its 64 coefficient bits, from its start
 and this banded binary linear system is solved by elimination, many small blocks at once. Keys whose equation
 contradicts earlier ones (a block filled above the average) are kept exactly, so no key is ever missed.
 
-Each distinct key of a generation probes the filters of all earlier generations of its shard; later arrivals of
-the key within its own, still open generation need only the position of its first. A filter can answer yes
-wrongly, so a yes is confirmed against the exact keys; how often that was needed is reported, together with an
-audit of every filter with keys that are certainly absent.
-
-Repeated keys collapse by partial aggregation before the first shuffle, and a shard holds a bounded number of
-distinct keys at any size of the input, so no task or memory follows a frequent key.
+One pass does it: a shard's keys stream through a task in the order of their generations. Each distinct key of the
+open generation probes the filters of all sealed ones; at its end the generation is solved, and its keys are dropped
+from memory. Later arrivals of a key within the open generation need only the position of its first. A key that every
+filter denies has certainly not occurred and is never looked up; a filter can answer yes wrongly, so a yes is
+confirmed against the exact keys. How often that was needed is reported, together with an audit of every filter with
+keys that are certainly absent.
+
+Repeated keys collapse by partial aggregation before the first shuffle, and a task holds the keys of one generation
+of one shard, so no task or memory follows a frequent key. An arrival is new if it is the first of a new key, so the
+answers are joined by arrival, not by key.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import cached_property
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +34,10 @@ _WIDTH = 64
 #: Keys a block gets on average, and its slots; what exceeds the slots is kept exactly.
 _BLOCK_KEYS, _SLOTS = 448, 512
 _WORDS = _SLOTS // 64 + 1
-_FILTER = "shard int, generation int, n_keys long, blocks long, bits int, solution binary, bumped binary, audit_probes long, audit_false long"
+_EVENT = (
+    "shard int, generation int, key long, first long, probes int, yes int, n_keys long, filter_bytes long, audit_probes long, audit_false long"
+)
+_EVENT_TYPES = {f.split()[0]: pa.int32() if f.endswith("int") else pa.int64() for f in _EVENT.split(", ")}
 
 
 def mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -119,6 +128,51 @@ class Ribbon:
         return found
 
 
+def _event(n: int, **values) -> pa.RecordBatch:
+    """``n`` rows; a column without values is null."""
+    arrays = [pa.array(values[c], t) if c in values else pa.nulls(n, t) for c, t in _EVENT_TYPES.items()]
+    return pa.RecordBatch.from_arrays(arrays, list(_EVENT_TYPES))
+
+
+class _Shard:
+    """The sealed filters and the open generation of the shard that streams through a task."""
+
+    def __init__(self, shard: int, bits: int, audit_keys: int) -> None:
+        self.shard, self.bits, self.audit_keys = shard, bits, audit_keys
+        self.sealed: list[Ribbon] = []
+        self.generation, self.open = -1, []
+
+    def take(self, generation: int, keys: np.ndarray, firsts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Answer for some distinct keys of a generation, sealing the one before if it ended."""
+        if generation != self.generation:
+            yield from self.seal()
+            self.generation = generation
+        yes = np.zeros(len(keys), np.int32)
+        for ribbon in self.sealed:
+            yes += ribbon.contains(keys)
+        self.open.append(keys)
+        n = len(keys)
+        yield _event(
+            n, shard=np.full(n, self.shard, np.int32), generation=np.full(n, generation, np.int32), key=keys, first=firsts,
+            probes=np.full(n, len(self.sealed), np.int32), yes=yes,
+        )
+
+    def seal(self) -> Iterator[pa.RecordBatch]:
+        """Solve the open generation's filter, audit it with absent keys and forget its keys."""
+        if not self.open:
+            return
+        keys = np.concatenate(self.open)
+        ribbon = Ribbon.build(keys, self.bits)
+        drawn = np.random.default_rng([self.shard, self.generation]).integers(-(2**63), 2**63 - 1, self.audit_keys)
+        absent = drawn[~np.isin(drawn, keys)]
+        self.sealed.append(ribbon)
+        self.open = []
+        yield _event(
+            1, shard=[self.shard], generation=[self.generation], n_keys=[len(keys)], filter_bytes=[ribbon.solution.nbytes + ribbon.bumped.nbytes],
+            audit_probes=[len(absent)], audit_false=[int(ribbon.contains(absent).sum())],
+        )
+
+
 def _position(value: Column, bounds: list[int]) -> Column:
     """The generation of an arrival: 1, and one more for each bound below it."""
     return sum((F.when(value > b, 1).otherwise(0) for b in bounds), F.lit(1)).cast("int")
@@ -130,7 +184,8 @@ class SeenBefore:
     An arrival needs a non-null order; rows with a null order have no place in the stream and are left out. A null
     key was never seen. Repeated rows with one order do not see each other. ``generation_rows`` and ``generations``
     bound the filters: arrivals are cut into generations of that many rows, but no more than ``generations``;
-    ``shard_keys`` bounds the keys a task holds. Empty tables give empty results. Other columns are not read. The probes are checkpointed.
+    ``shard_keys`` is how many keys of all generations a shard gets. Empty tables give empty results. Other columns
+    are not read. The verdicts of the filters are checkpointed when first asked for.
     """
 
     def __init__(
@@ -141,113 +196,86 @@ class SeenBefore:
         key: str = "id",
         order: str = "arrival_no",
         bits: int = 12,
-        generation_rows: int = 20_000,
-        generations: int = 24,
-        shard_keys: int = 200_000,
+        generation_rows: int = 1000,
+        generations: int = 12,
+        shard_keys: int = 400_000,
         audit_keys: int = 4096,
     ) -> None:
         arrivals = incoming.select(F.col(order).cast("long").alias("arrival"), F.col(key).cast("long").alias("key"))
         arrivals = arrivals.filter(F.col("arrival").isNotNull())
-        known = stored.select(F.col(stored_key).cast("long").alias("key")).dropna()
-        n = arrivals.count()
-        cuts = min(generations, max(1, -(-n // generation_rows)))
-        bounds = arrivals.agg(F.percentile_approx("arrival", [i / cuts for i in range(1, cuts)], 10_000)).first()[0] if cuts > 1 else []
-        shards = max(1, -(-(n + known.count()) // shard_keys))
-        shard = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
-        self.arrivals = arrivals.withColumn("generation", _position(F.col("arrival"), list(bounds or [])))
-        firsts = self.arrivals.filter(F.col("key").isNotNull()).groupBy("generation", "key").agg(F.min("arrival").alias("first"))
-        self.firsts = firsts.select("generation", "key", "first", shard)
-        self.keys = self.firsts.select("generation", "key", "shard").unionByName(
-            known.distinct().select(F.lit(0).alias("generation"), "key", shard)
-        )
+        quantiles = F.percentile_approx("arrival", [i / generations for i in range(1, generations)], 10_000) if generations > 1 else F.array()
+        n, cuts = arrivals.agg(F.count(F.lit(1)), quantiles).first()
+        # Of few rows there are fewer generations; every so manyth cut is left out.
+        skip = max(1, -(-generations * generation_rows // max(1, n)))
+        bounds = sorted(set((cuts or [])[skip - 1 :: skip]))
+        self.arrivals = arrivals.withColumn("generation", _position(F.col("arrival"), bounds))
+        total, parallel = n + stored.count(), stored.sparkSession.sparkContext.defaultParallelism
+        self.shards = max(1, min(parallel, total // 10_000), -(-total // shard_keys))
+        self.known = stored.select(F.col(stored_key).cast("long").alias("key")).dropna().distinct()
         self.bits, self.audit_keys = bits, audit_keys
-        # Solving and probing take long for few bytes, so the number of tasks follows the keys.
-        self.tasks = max(shards, stored.sparkSession.sparkContext.defaultParallelism)
 
-    def filters(self) -> DataFrame:
-        """One solved filter for each shard of each generation."""
+    @cached_property
+    def events(self) -> DataFrame:
+        """A row for each distinct key of a generation (``shard, generation, key, first, probes, yes``: how many of the earlier
+        filters were probed and answered yes) and one for each sealed filter (no key; its size and audit)."""
+        firsts = self.arrivals.filter(F.col("key").isNotNull()).groupBy("generation", "key").agg(F.min("arrival").alias("first"))
+        every = firsts.unionByName(self.known.select(F.lit(0).alias("generation"), "key", F.lit(None).cast("long").alias("first")))
+        shard = F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard")
         bits, audit_keys = self.bits, self.audit_keys
 
-        def build(pdf: pd.DataFrame) -> pd.DataFrame:
-            keys = pdf["key"].to_numpy()
-            ribbon = Ribbon.build(keys, bits)
-            # Keys that are certainly absent: drawn at random, without those that are in the set.
-            shard, generation = int(pdf["shard"].iat[0]), int(pdf["generation"].iat[0])
-            drawn = np.random.default_rng([shard, generation]).integers(-(2**63), 2**63 - 1, audit_keys)
-            absent = drawn[~np.isin(drawn, keys)]
-            return pd.DataFrame(
-                {
-                    "shard": [shard],
-                    "generation": [generation],
-                    "n_keys": [len(keys)],
-                    "blocks": [ribbon.blocks],
-                    "bits": [bits],
-                    "solution": [ribbon.solution.tobytes()],
-                    "bumped": [ribbon.bumped.tobytes()],
-                    "audit_probes": [len(absent)],
-                    "audit_false": [int(ribbon.contains(absent).sum())],
-                }
-            )
-
-        keys = self.keys.repartition(self.tasks, "shard", "generation")
-        return keys.groupBy("shard", "generation").applyInPandas(build, _FILTER)
-
-    def probed(self, filters: DataFrame) -> DataFrame:
-        """``generation, key, first, probes, yes`` of each distinct key of a generation: how many earlier filters answered yes."""
-
-        def probe(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-            asked = asked.sort_values("generation", ignore_index=True)
-            keys, generation = asked["key"].to_numpy(), asked["generation"].to_numpy()
-            probes, yes = np.zeros(len(asked), np.int32), np.zeros(len(asked), np.int32)
-            for row in held.itertuples(index=False):
-                begin = np.searchsorted(generation, row.generation, side="right")
-                solution = np.frombuffer(row.solution, np.uint64).reshape(row.blocks, row.bits, _WORDS)
-                ribbon = Ribbon(row.blocks, row.bits, solution, np.frombuffer(row.bumped, np.int64))
-                probes[begin:] += 1
-                yes[begin:] += ribbon.contains(keys[begin:])
-            return asked.assign(probes=probes, yes=yes)[["generation", "key", "first", "probes", "yes"]]
-
-        held = filters.select("shard", "generation", "blocks", "bits", "solution", "bumped").repartition(self.tasks, "shard")
-        return (
-            self.firsts.repartition(self.tasks, "shard")
-            .groupBy("shard")
-            .cogroup(held.groupBy("shard"))
-            .applyInPandas(probe, "generation int, key long, first long, probes int, yes int")
-        )
-
-    def confirmed(self, filters: DataFrame) -> DataFrame:
-        """``probed`` with ``earlier``: whether the key is in an earlier generation, known exactly. Only a yes is looked up."""
-        # Used twice, and probing takes long.
-        probed = cut(self.probed(filters))
-        born = self.keys.groupBy("key").agg(F.min("generation").alias("born"))
-        asked = probed.filter("yes > 0").join(born, "key", "left").withColumn("earlier", F.coalesce(F.col("born") < F.col("generation"), F.lit(False)))
-        return asked.unionByName(probed.filter("yes = 0").withColumns({"born": F.lit(None).cast("int"), "earlier": F.lit(False)}))
+        def watch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now: _Shard | None = None
+            for batch in batches:
+                shards, generations, keys = (batch.column(i).to_numpy() for i in range(3))
+                edges = np.nonzero((np.diff(shards) != 0) | (np.diff(generations) != 0))[0] + 1
+                for begin, end in zip([0, *edges], [*edges, len(keys)]):
+                    if begin == end:
+                        continue
+                    if now is None or now.shard != shards[begin]:
+                        yield from now.seal() if now else ()
+                        now = _Shard(int(shards[begin]), bits, audit_keys)
+                    yield from now.take(int(generations[begin]), keys[begin:end], batch.column(3).slice(begin, end - begin))
+            yield from now.seal() if now else ()
+
+        ordered = every.select(shard, "generation", "key", "first").repartition(self.shards, "shard").sortWithinPartitions("shard", "generation")
+        return cut(ordered.mapInArrow(watch, _EVENT))
+
+    def looked_up(self) -> DataFrame:
+        """``generation, key, first`` of the keys that some earlier filter said yes to; no others are compared with exact keys."""
+        return self.events.filter("yes > 0").select("generation", "key", "first")
+
+    def wrong(self) -> DataFrame:
+        """The looked-up keys that are in no earlier generation: the filters' wrong answers."""
+        asked, exact = self.looked_up().alias("asked"), self.events.filter("key IS NOT NULL").select("generation", "key").alias("exact")
+        earlier = F.expr("asked.key = exact.key AND exact.generation < asked.generation")
+        return asked.join(exact, earlier, "left_anti")
 
     def answers(self) -> DataFrame:
-        """``arrival, key, seen`` for every arrival. Joined within generations, so a frequent key is spread over all of them."""
-        verdicts = self.confirmed(self.filters()).select("generation", "key", "first", "earlier")
-        seen = F.coalesce(F.col("earlier") | (F.col("arrival") > F.col("first")), F.lit(False)).alias("seen")
-        known = self.arrivals.join(verdicts, ["generation", "key"]).select("arrival", "key", seen)
-        # Arrivals without a key have no part in the join, where they would all meet in one task.
-        return known.unionByName(self.arrivals.filter(F.col("key").isNull()).select("arrival", "key", F.lit(False).alias("seen")))
+        """``arrival, key, seen`` for every arrival. New are the first arrivals of the keys that all filters denied, or that were
+        looked up in vain; they are joined by arrival, so a frequent key is spread over all tasks."""
+        denied = self.events.filter("yes = 0 AND generation > 0").select("key", "first")
+        new = denied.unionByName(self.wrong().select("key", "first")).select(F.col("first").alias("arrival"), "key", F.lit(True).alias("new"))
+        answered = self.arrivals.join(new, ["arrival", "key"], "left")
+        return answered.select("arrival", "key", (F.col("key").isNotNull() & F.col("new").isNull()).alias("seen"))
 
     def report(self) -> DataFrame:
         """Per generation: its filters' size and audit, its probes, and the answers that were wrong before confirmation."""
-        filters = self.filters()
-        sealed = filters.groupBy("generation").agg(
+        sealed = self.events.filter("key IS NULL").groupBy("generation").agg(
             F.sum("n_keys").alias("n_keys"),
-            F.sum(F.length("solution") + F.length("bumped")).alias("filter_bytes"),
+            F.sum("filter_bytes").alias("filter_bytes"),
             F.sum("audit_probes").alias("audit_probes"),
             F.sum("audit_false").alias("audit_false"),
         )
-        asked = self.confirmed(filters).groupBy("generation").agg(
+        asked = self.events.filter("key IS NOT NULL AND generation > 0").groupBy("generation").agg(
             F.count(F.lit(1)).alias("n_asked"),
             F.sum("probes").alias("n_probes"),
-            F.count_if(F.col("yes") > 0).alias("n_yes"),
-            F.count_if((F.col("yes") > 0) & ~F.col("earlier")).alias("n_wrong"),
+            F.count_if(F.col("yes") > 0).alias("n_looked_up"),
         )
-        absent = F.col("n_asked") - F.col("n_yes") + F.col("n_wrong")
-        return sealed.join(asked, "generation", "full").select(
+        wrong = self.wrong().groupBy("generation").agg(F.count(F.lit(1)).alias("n_wrong"))
+        rows = sealed.join(asked, "generation", "left").join(wrong, "generation", "left")
+        rows = rows.withColumn("n_wrong", F.when(F.col("n_asked").isNotNull(), F.coalesce("n_wrong", F.lit(0))))
+        absent = F.col("n_asked") - F.col("n_looked_up") + F.col("n_wrong")
+        return rows.select(
             "*",
             (F.col("audit_false") / F.col("audit_probes")).alias("audit_rate"),
             F.try_divide("n_wrong", absent).alias("wrong_rate"),

@@ -173,11 +173,15 @@ def test_ribbon_has_no_misses_and_few_false_answers(n):
     assert ribbon.contains(absent).mean() < 3 / 1024
 
 
-def test_a_full_block_keeps_what_contradicts():
+def test_keys_that_contradict_are_kept_exactly(monkeypatch):
+    from larkspur.llm import seen_before as module
+
+    monkeypatch.setattr(module, "_BLOCK_KEYS", 600)  # more keys than slots
     keys = np.arange(3000)
-    small = Ribbon.build(keys, 8)
-    small.bumped = np.sort(keys)
-    assert small.contains(keys).all()
+    full = Ribbon.build(keys, 8)
+    assert len(full.bumped) > 300
+    assert full.contains(keys).all()
+    assert full.contains(np.arange(10_000, 60_000)).mean() < 3 / 256
 
 
 def seen_model(stored, incoming):
@@ -194,23 +198,29 @@ def test_seen_before(spark):
     incoming = [(k, 7 if rng.random() < 0.3 else rng.choice([None, rng.randrange(2000), -rng.randrange(9)])) for k in range(3000)] + [(None, 1)]
     rng.shuffle(incoming)
     frames = spark.createDataFrame(stored, "id long"), spark.createDataFrame([(*r, 1, 2) for r in incoming], "arrival_no long, id long, shard int, first int")
-    seen = SeenBefore(*frames, generation_rows=400, shard_keys=300, bits=4)
+    seen = SeenBefore(*frames, generation_rows=250, shard_keys=300, bits=4)
     got = seen.answers().collect()
     assert {r.arrival: r.seen for r in got} == seen_model(stored, incoming)
     assert len(got) == 3000
     report = {r.generation: r for r in seen.report().collect()}
-    assert len(report) == 9 and report[0].n_asked is None
+    assert len(report) == 13 and report[0].n_asked is None
     assert sum(r.n_wrong or 0 for r in report.values()) > 0  # four bits answer wrongly at times, and it is reported
     assert 0 < report[0].audit_rate < 0.2
 
 
-def test_only_a_yes_is_looked_up(spark):
-    stored, incoming = [(k,) for k in range(200)], [(k, k) for k in range(100, 400)]
-    seen = SeenBefore(spark.createDataFrame(stored, "id long"), spark.createDataFrame(incoming, "arrival_no long, id long"), generation_rows=50)
-    rows = seen.confirmed(seen.filters()).collect()
-    assert sorted(r.key for r in rows) == list(range(100, 400))
-    assert [r.key for r in rows if r.yes == 0 and r.born is not None] == []
-    assert {r.key for r in rows if r.earlier} == set(range(100, 200))
+def test_filters_decide_which_keys_are_looked_up(spark):
+    stored, incoming = [(k,) for k in range(2000)], [(k, k) for k in range(1000, 4000)]
+    frames = spark.createDataFrame(stored, "id long"), spark.createDataFrame(incoming, "arrival_no long, id long")
+    looked_up = {}
+    for bits in (1, 16):
+        seen = SeenBefore(*frames, generation_rows=500, bits=bits)
+        assert {r.arrival for r in seen.answers().filter("seen").collect()} == set(range(1000, 2000))
+        looked_up[bits] = {r.key for r in seen.looked_up().collect()}
+        plan = seen.wrong()._jdf.queryExecution().optimizedPlan().toString()
+        assert "(yes" in plan.split("Join")[1]
+    # A weak filter says yes to most keys; a strong one to hardly more than those that were seen.
+    assert set(range(1000, 2000)) <= looked_up[16] <= looked_up[1] | looked_up[16]
+    assert len(looked_up[16]) < 1050 < 2000 < len(looked_up[1])
 
 
 def test_seen_before_with_empty_tables(spark):
