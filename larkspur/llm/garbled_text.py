@@ -5,7 +5,8 @@ in one, read in another, once or twice over, with undefined bytes kept or replac
 hash-joined against this table; a hit is accepted if the form is unnatural or far rarer than its original. Words are
 compared at these grains, each garbled the same way:
 
-- whole words (without ASCII punctuation at the ends),
+- whole words, without ASCII punctuation at the ends, and with or without the other signs at their ends, which may be
+  quotation marks or part of what is garbled,
 - the runs of non-ASCII characters in them, as ``’s`` in a name's genitive that occurs only once,
 - for scripts written without spaces, runs of three characters, whose forms are compared by shingles of three, in the
   whole run and in each stretch of other scripts that it holds; and, for single garbled words within clean text, pairs
@@ -15,10 +16,12 @@ compared at these grains, each garbled the same way:
 Where garbled and clean spelling are about as frequent, a document's words tell together: it is garbled if its letters fit
 no language's alphabet, but do with the words that one chain explains put right (or if that puts several words in capitals
 into small letters). What is explained so does not count as use of a word. A form is far rarer if it is
-so in rows or in distinct texts, as either may be copies.
+so in rows or in distinct texts, as either may be copies. No word of a language happens to be what the UTF-8 of another
+word of the corpus reads as byte by byte, so such a form of two characters or more needs no further evidence.
 
-Each distinct word is judged once; only words with a hit are joined back to the documents. Characters that a text
-cites between quotation marks are no words of it.
+Each distinct word is judged once; only words with a hit are joined back to the documents. What a text cites is no word
+of it: non-ASCII signs between quotation marks that stand for one single character, as they are or once a chain is
+undone, or that are the garbled form of something else that the text puts between quotation marks.
 """
 
 from __future__ import annotations
@@ -26,9 +29,10 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,33 +50,82 @@ TWICE = ("web-1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac-roman
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿豈-﫿｡-ﾟ]")
-_LOST = re.compile(r"[�\x80-\x9f]")
-#: A character that is no letter, mark or usual punctuation, next to a letter; or a capital within a word.
-_ODD = re.compile(
-    r"[^\W\d_][¢-¦¨©¬-¯±-¹¼-¾×÷ˆ˜†-•‰‹›₧™←-◿‚„…€¡¿][^\W\d_]"
-    r"|[ÂÃÅÐÑâã][ -¿ŒœŠšŸŽžƒˆ˜–-›€™]"
-    r"|[a-zß-öø-ÿа-џ][À-ÖØ-ÞЀ-Я]"
-    r"|[←-◿][^\x00-\x7f←-◿\s]|[^\x00-\x7f←-◿\s][←-◿]"
-)
-#: Letters and punctuation that words are written with, as far as it is needed to tell that a decoding makes sense.
-_USUAL = re.compile(r"[\x20-\x7e\xa0-\u017f\u0400-\u045f\u2010-\u203a€\u3000-\u30ff\u4e00-\u9fff\uff01-\uff5e]*")
+#: Characters that stand for nothing: replaced, control, private or unassigned ones.
+_LOST = regex.compile(r"[\ufffd\x80-\x9f\p{Co}\p{Cn}]")
+#: What words are written with: a decoding to anything else makes no sense.
+_USUAL = regex.compile(r"[\x20-\x7e\p{L}\p{M}\p{N}\p{P}\p{S}\p{Zs}]*")
+#: Punctuation and spaces other than ASCII ones at the ends of a word or run.
+_SIGNS = regex.compile(r"(?V1)[[\p{P}\p{Z}]--[\x00-\x7f]]*")
+_SIGNS_END = regex.compile(r"(?r)(?V1)[[\p{P}\p{Z}]--[\x00-\x7f]]*$")
 _WHOLE = re.compile(r".+", re.DOTALL)
 #: A stretch without characters of scripts that have no spaces, in which it may be embedded.
 _SEGMENT = re.compile(r"[^\u3001-\u30ff\u3400-\u9fff]+")
 #: Two characters of such a script.
 _PAIR = re.compile(r"[\u3005-\u3007\u3041-\u30ff\u3400-\u9fff]{2}")
-_LATIN = re.compile(r"[A-Za-zÀ-ɏ]")
-_OTHER = re.compile(r"[Ͱ-ۿ฀-๿]")
-_HAN = re.compile(r"[㐀-鿿]")
-_KANA = re.compile(r"[぀-ヿ]")
+#: Alphabets that no word mixes, and the scripts that Latin letters stand next to in one word only where there are kana.
+_ALPHABETIC = [regex.compile(rf"\p{{Script={name}}}") for name in ("Latin", "Greek", "Cyrillic", "Armenian", "Hebrew", "Arabic", "Devanagari", "Thai", "Georgian")]
+_HAN = regex.compile(r"\p{Script=Han}")
+_KANA = regex.compile(r"[\p{Script=Hiragana}\p{Script=Katakana}]")
+
+
+#: How cp1252 differs from Latin-1, which keeps the five bytes that it leaves undefined; and back.
+_WEB = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_WEB_BACK = {ord(c): chr(b) for b, c in _WEB.items()}
+
+
+def _encode(text: str, encoding: str) -> bytes | None:
+    try:
+        return text.translate(_WEB_BACK).encode("latin-1") if encoding == "web-1252" else text.encode(encoding)
+    except UnicodeError:
+        return None
 
 
+def _decode(data: bytes, encoding: str) -> str:
+    return data.decode("latin-1").translate(_WEB) if encoding == "web-1252" else data.decode(encoding, "replace")
+
+
+def _sequences() -> str:
+    """A pattern of whole UTF-8 sequences as single-byte encodings read them, with a sign among the bytes that continue one."""
+    found = set()
+    for read in SINGLE:
+        kinds = []
+        for first, last in ((0xC2, 0xDF), (0xE0, 0xEF), (0x80, 0xBF)):
+            kinds.append([_decode(bytes([b]), read) for b in range(first, last + 1)])
+        two, three, more = ("[" + "".join(regex.escape(c) for c in dict.fromkeys(kind) if c != "\ufffd") + "]" for kind in kinds)
+        sign = f"(?=[^\\p{{L}}]){more}"
+        found.add(f"{two}{sign}|{three}(?:{sign}{more}|{more}{sign})")
+    return "|".join(sorted(found))
+
+
+#: A sign that is no usual punctuation between letters, a capital within a word, or arrows, frames and the like next to non-ASCII characters.
+_ODD = regex.compile(
+    r"(?V1)\p{L}[[\p{S}\p{No}\xad‚„‹›†‡•…‰¡¿]--[\x00-\x7f°]]\p{L}"
+    r"|\p{Ll}(?=[^\x00-\x7f])\p{Lu}"
+    r"|[\u2190-\u25ff][^\x00-\x7f\u2190-\u25ff\s]|[^\x00-\x7f\u2190-\u25ff\s][\u2190-\u25ff]"
+    r"|" + _sequences()
+)
+
+
+@lru_cache(1 << 16)
 def unnatural(word: str) -> bool:
-    """Whether no language writes a word like this: lost or control characters, symbols inside it, mixed scripts or case."""
+    """Whether no language writes a word like this: lost or control characters, signs inside it, mixed scripts or case."""
     if _LOST.search(word) or _ODD.search(word):
         return True
-    latin = _LATIN.search(word)
-    return bool(latin and (_OTHER.search(word) or (_HAN.search(word) and not _KANA.search(word))))
+    scripts = sum(bool(p.search(word)) for p in _ALPHABETIC)
+    return scripts > 1 or bool(_ALPHABETIC[0].search(word) and _HAN.search(word) and not _KANA.search(word))
+
+
+def bare(text: str) -> list[str]:
+    """A text with its signs at the ends, without all at one or both ends, and without each number of them at one end.
+
+    As many as it has signs, so a long row of them costs no more than itself.
+    """
+    a, b = len(_SIGNS.match(text).group()), len(_SIGNS_END.search(text).group())
+    n = len(text)
+    if a == n:
+        return [text]
+    cuts = {(i, j) for i in range(a + 1) for j in (0, b)} | {(i, j) for j in range(b + 1) for i in (0, a)}
+    return list(dict.fromkeys(text[i : n - j] for i, j in sorted(cuts)))
 
 
 #: The letters besides a to z of languages, small.
@@ -99,22 +152,6 @@ def languages(word: str) -> int:
     return bits
 
 
-#: How cp1252 differs from Latin-1, which keeps the five bytes that it leaves undefined; and back.
-_WEB = {b: bytes([b]).decode("cp1252") for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
-_WEB_BACK = {ord(c): chr(b) for b, c in _WEB.items()}
-
-
-def _encode(text: str, encoding: str) -> bytes | None:
-    try:
-        return text.translate(_WEB_BACK).encode("latin-1") if encoding == "web-1252" else text.encode(encoding)
-    except UnicodeError:
-        return None
-
-
-def _decode(data: bytes, encoding: str) -> str:
-    return data.decode("latin-1").translate(_WEB) if encoding == "web-1252" else data.decode(encoding, "replace")
-
-
 def chains(text: str) -> Iterator[tuple[str, str]]:
     """Chains and the garbled forms of a text under them; a form may come under several chains."""
     utf8 = text.encode("utf-8")
@@ -149,18 +186,21 @@ def undo(text: str, chain: str) -> str | None:
     return plain
 
 
+@lru_cache(1 << 16)
 def looks_garbled(word: str) -> bool:
-    """Whether a word is no clean original: characters are lost, or its bytes in some single-byte encoding are UTF-8 of usual text."""
+    """Whether a word is no clean original: characters are lost, or its bytes in some single-byte encoding are UTF-8 that makes sense."""
     if _LOST.search(word):
         return True
-    for read in ("web-1252", "cp1250", "cp1251", "cp437", "cp850", "mac-roman"):
-        data = _encode(word, read)
-        if data is not None:
-            try:
-                if _USUAL.fullmatch(data.decode("utf-8")):
+    for form in bare(word):
+        for read in ("web-1252", "cp1250", "cp1251", "cp437", "cp850", "cp866", "mac-roman"):
+            data = None if form.isascii() else _encode(form, read)
+            if data is not None:
+                try:
+                    plain = data.decode("utf-8")
+                except UnicodeError:
+                    continue
+                if _USUAL.fullmatch(plain) and not unnatural(plain):
                     return True
-            except UnicodeError:
-                pass
     return False
 
 
@@ -170,9 +210,11 @@ def _sources(word: str) -> Iterator[tuple[str, str]]:
     whole = word.strip(_EDGE)
     if spaced and whole:
         yield "word", whole
+        yield "word", bare(whole)[-1]
     for m in _RUN.finditer(word):
         run = m.group()
-        if spaced or len(run) <= 12:
+        # Longer runs without spaces are told by their shingles.
+        if spaced or len(run) <= 3:
             yield "run", run
         if spaced and m.end() < len(word):
             yield "run", run + word[m.end()]
@@ -274,12 +316,15 @@ def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _of_word(word: str) -> Iterator[tuple[str, str, int, int, bool]]:
     whole = word.strip(_EDGE)
-    if whole and not whole.isascii():
-        yield "word", whole, 0, 0, unnatural(whole)
+    for form in bare(whole) if whole and not whole.isascii() else ():
+        if form and not form.isascii():
+            yield "word", form, 0, 0, unnatural(form)
     for k, m in enumerate(_RUN.finditer(word)):
         run = m.group()
         # A run is judged with its neighbours.
-        yield "run", run, k, 0, unnatural(word[max(0, m.start() - 1) : m.end() + 1])
+        odd = unnatural(word[max(0, m.start() - 1) : m.end() + 1])
+        for form in bare(run):
+            yield "run", form, k, 0, odd
         if len(run) >= 4:
             parts = _shingles(run)
             for part in parts:
@@ -356,14 +401,36 @@ def _together(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["doc_id", "text_hash", "id"])
 
 
-#: Quoted non-ASCII characters alone, between word boundaries.
-_CITED = (
-    r'(?<![^\s(\[>])(?:"[^\x00-\x7f]{1,8}"|[“„«‹‘]\s?[^\x00-\x7f]{1,8}?\s?[”“»›’])(?![^\s.,;:!?)\]<])'
-)
+#: Non-ASCII characters alone between quotation marks.
+_QUOTED = r"""(?<![^\s(\[>])["'“„«‹‘‚]\s?([^\x00-\x7f]+?)\s?["'”“»›’‘](?![^\s.,;:!?)\]<])"""
+
+
+def cited(inner: str, others: set[str]) -> bool:
+    """Whether a text that puts ``inner`` and ``others`` between quotation marks cites it as a sign, rather than uses it as a word."""
+    if len(inner) == 1:
+        return True
+    once = (f"{written}>{read}" for written in ("utf-8", *MULTI) for read in (*SINGLE, *MULTI) if written != read)
+    twice = (f"utf-8>{a}>utf-8>{b}" for a in TWICE for b in TWICE)
+    if any(len(undo(inner, chain) or "") == 1 for chain in (*once, *twice)):
+        return True
+    return any(form == inner for other in others if other != inner for _, form in chains(other)) or any(
+        form in others for _, form in chains(inner) if form != inner
+    )
+
 
+def without_citations(text: str) -> str:
+    """The text with what it cites left out."""
+    quoted = {m.group(1) for m in re.finditer(_QUOTED, text)}
+    known = {inner for inner in quoted if cited(inner, quoted)}
+    return re.sub(_QUOTED, lambda m: " " if m.group(1) in known else m.group(), text)
+
+
+def _uncited(text: Column) -> Column:
+    def edit(texts: pd.Series) -> pd.Series:
+        return texts.map(without_citations, na_action="ignore")
+
+    return F.pandas_udf(edit, "string")(text)
 
-#: What every citation begins with; cheap to look for, and most texts have none.
-_MAYBE_CITED = r'["“„«‹‘]\s?[^\x00-\x7f]'
 
 #: What parts words: ASCII whitespace and HTML tags.
 _BREAK = r"(?:[ \t\n\x0B\f\r]|</?[A-Za-z]{1,10} ?/?>)+"
@@ -375,17 +442,19 @@ class GarbledText:
     A word is a run without ASCII whitespace and HTML tags. Null ids and texts are left out, empty texts hold nothing; a document
     whose row is repeated counts once. Empty tables give empty results. ``rarer`` is in how many times fewer rows or distinct texts than
     its original a garbled form must be that looks like a word of some language, apart from documents whose words tell together. ``share`` is the part of a long run's
-    shingles that must be garbled forms, or ``stretch`` of them. Whole texts of all documents are read; the distinct words are checkpointed.
+    shingles that must be garbled forms, or ``stretch`` of them. Up to ``few`` documents to restore are broadcast. Whole texts of all documents are read; the distinct words are checkpointed.
     """
 
-    def __init__(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarer: int = 4, share: float = 0.6, stretch: int = 6) -> None:
+    def __init__(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarer: int = 4, share: float = 0.6, stretch: int = 6, few: int = 20_000) -> None:
         self.texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).dropna()
-        plain = F.when(F.col("text").rlike(_MAYBE_CITED), F.regexp_replace("text", _CITED, " ")).otherwise(F.col("text"))
+        # Most texts have no such quotation and do not go to Python.
+        quotes = F.col("text").rlike(_QUOTED)
+        plain = F.when(quotes, _uncited(F.when(quotes, F.col("text")))).otherwise(F.col("text"))
         words = F.array_distinct(F.filter(F.split(plain, _BREAK), lambda w: w.rlike(r"[^\x00-\x7f]")))
         self.words = self.texts.filter(F.col("text").rlike(r"[^\x00-\x7f]")).select(
             "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(words).alias("word")
         )
-        self.rarer, self.share, self.stretch = rarer, share, stretch
+        self.rarer, self.share, self.stretch, self.few = rarer, share, stretch, few
         numbered = self.words.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.count_distinct("text_hash").alias("texts"))
         numbered = numbered.withColumn("id", F.monotonically_increasing_id())
         self.distinct = cut(numbered)
@@ -460,12 +529,14 @@ class GarbledText:
         two = (size == 2) & (F.col("form").rlike(r"[^\p{L}\p{M}\p{N}]") | (F.length("original") == 1))
         rare = rarer(self.rarer) & ((size >= 3) | two)
         rare = rare | (foreign & rarer(2 * self.rarer))
+        read = F.regexp_extract("chain", "^utf-8>([^>]+)", 1)
+        whole = F.col("grain").isin("word", "run") & read.isin(*SINGLE) & (F.length("original") >= 2) & (F.octet_length("original") >= 3)
         # A single letter can be a word of any language.
         alone = (F.col("grain") == "word") & (size == 1) & F.col("form").rlike(r"\p{L}") & ~foreign
-        return known.filter(~alone).filter(F.col("odd") | rare).drop("odd", "own", "own_texts", "df", "texts", "explained", "explained_texts")
+        return known.filter(~alone).filter(F.col("odd") | rare | whole).drop("odd", "own", "own_texts", "df", "texts", "explained", "explained_texts")
 
     def garbled_words(self) -> DataFrame:
-        """``word, original, runs, pairs, chains``: each garbled word, with what is known to restore it."""
+        """``word, wholes, runs, pairs, chains``: each garbled word, with what is known to restore it."""
         return self._put_together(self.hits())
 
     def _put_together(self, hits: DataFrame) -> DataFrame:
@@ -481,7 +552,7 @@ class GarbledText:
             .filter((F.col("grain") != "three") | (F.col("n") >= F.least(self.share * F.col("parts"), F.lit(self.stretch))))
         )
         judged = shingled.groupBy("id").agg(
-            F.max(F.when((F.col("grain") == "word") & ~F.col("ambiguous"), F.col("original"))).alias("original"),
+            F.collect_list(F.when((F.col("grain") == "word") & ~F.col("ambiguous"), F.struct("form", "original"))).alias("wholes"),
             F.collect_list(F.when((F.col("grain") == "run") & ~F.col("ambiguous"), F.struct("form", "original"))).alias("runs"),
             F.collect_list(
                 F.when(F.col("grain").isin("pair", "bounded") & ~F.col("ambiguous"), F.struct("grain", "form", "original", "chain"))
@@ -525,20 +596,27 @@ class GarbledText:
                     out.append((doc_id, "".join(parts), len(known), sum(v is not None for v in known.values())))
                 yield pd.DataFrame(out, columns=["doc_id", "restored", "n_garbled", "n_restored"])
 
-        texts = self.texts.groupBy("doc_id").agg(F.min("text").alias("text"))
-        joined = own.join(texts, "doc_id").select("doc_id", "text", "fixes")
-        return joined.mapInPandas(rewrite, "doc_id long, restored string, n_garbled int, n_restored int")
+        # Only the texts to rewrite are shuffled, if at all: their ids are few, or else the join is one by ids.
+        own = cut(own)
+        asked = F.broadcast(own) if own.count() <= self.few else own
+        texts = self.texts.join(asked, "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "fixes")).alias("t"))
+        return texts.select("doc_id", "t.*").mapInPandas(rewrite, "doc_id long, restored string, n_garbled int, n_restored int")
 
 
-def _restore(word: str, original: str | None, runs, pairs, tried) -> str | None:
+def _restore(word: str, wholes, runs, pairs, tried) -> str | None:
     """The original of a garbled word, or None."""
-    whole = word.strip(_EDGE)
-    if original is not None and not _LOST.search(original):
-        return word.replace(whole, original, 1)
-    known = {r["form"]: r["original"] for r in runs if r is not None}
+    # The longest form takes in most of the word's signs.
+    for form, original in sorted(((w["form"], w["original"]) for w in wholes), key=lambda w: (-len(w[0]), w)):
+        if not _LOST.search(original):
+            return word.replace(form, original, 1)
+    known = {r["form"]: r["original"] for r in runs}
+
+    def fixed(run: str) -> str | None:
+        return next((run.replace(form, known[form], 1) for form in bare(run) if form in known), None)
+
     pieces = _RUN.findall(word)
-    if pieces and all(p in known for p in pieces) and any(p != known[p] for p in pieces) and len(known) == len(pieces):
-        return _RUN.sub(lambda m: known[m.group()], word)
+    if pieces and known and all(fixed(p) is not None for p in pieces) and any(p != fixed(p) for p in pieces):
+        return _RUN.sub(lambda m: fixed(m.group()), word)
     for chain in tried:
         for pattern in (_WHOLE, _SEGMENT):
             plain = pattern.sub(lambda m: _undone(m.group(), chain), word)  # noqa: B023
