@@ -4,8 +4,12 @@ Centroids are trained on a bounded sample: balanced bisection, a few rounds of s
 every list above twice the average. A graph joins each centroid to its nearest ones; it and the centroids are
 small (at most ``sample_rows / 16`` lists) and broadcast. Every vector walks the graph best-first, batches of
 vectors at once, to the lists near it. It is stored in all lists not much farther than its nearest (boundary
-vectors are thus replicated) and searches all lists within a distance ratio of its nearest. Each list is one
-matrix product; where a list would exceed ``list_rows`` it is cut into a grid of blocks, so a task is bounded.
+vectors are thus replicated) and searches all lists within a distance ratio of its nearest.
+
+The lists' sizes are then counted. A list with more than ``split_rows`` vectors gets a graph of its own, trained on a
+bounded sample of it, and its rows are sent on to lists within it, in as many tasks as its rows need; so the number of
+lists grows with the vectors, level by level, while each graph stays small. Each list is one matrix product. A list
+that stays large (vectors that hardly differ) is cut into a grid of blocks by its counted size, so a task is bounded.
 
 Exact copies of a direction are one vector to the index, so a group of copies, however large, is never paired
 with itself; its members are put back at the end.
@@ -13,6 +17,7 @@ with itself; its members are put back at the end.
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -39,7 +44,7 @@ def _owners(rows: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 class CentroidGraph:
-    """Unit centroids, the graph of their nearest neighbours, and the share of the sample in each list."""
+    """Unit centroids and the graph of their nearest neighbours."""
 
     def __init__(self, sample: np.ndarray, lists: int, degree: int = 24, seed: int = 7) -> None:
         self.rng = np.random.default_rng(seed)
@@ -57,7 +62,6 @@ class CentroidGraph:
             centroids = np.vstack([np.delete(centroids, large, axis=0), _unit(np.stack(halves))])
         self.centroids = centroids.astype(np.float32)
         n = len(centroids)
-        self.share = np.bincount(_owners(sample, self.centroids), minlength=n) / max(1, len(sample))
         degree = min(degree, n - 1)
         self.graph = np.zeros((n, degree), np.int32)
         for i in range(0, n, 1024):
@@ -198,6 +202,82 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
     return ranked.select("id", (-F.col("b.minus")).alias("other"), F.col("b.similarity").alias("similarity"), "place")
 
 
+_ROUTED = "list long, id long, role byte, v binary"
+#: A list's children are numbered by ten more bits below its own number; the level is in the top byte.
+_CHILD_BITS, _LEVELS = 10, 4
+
+
+def _route(graph: CentroidGraph, data: np.ndarray, roles: np.ndarray, how: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, role) arrays: the lists that members are stored in and queries search."""
+    beam, distance = graph.near(data, how["breadth"], max(how["replicate"], how["probe"]))
+    bound = distance[:, :1] + 1e-6
+    stored = (distance <= how["replicate"] * bound) & (beam >= 0) & ((roles & _MEMBER) > 0)[:, None]
+    stored[:, how["replicas"] :] = False
+    asks = (distance <= how["probe"] * bound) & (beam >= 0) & ((roles & _QUERY) > 0)[:, None]
+    row, slot = np.nonzero(stored | asks)
+    return row, beam[row, slot], (stored[row, slot] * _MEMBER | asks[row, slot] * _QUERY).astype(np.int8)
+
+
+def _finer(routed: DataFrame, large: DataFrame, level: int, dimension: int, list_size: int, how: dict) -> DataFrame:
+    """The rows of ``large`` lists (``list, members, parts``) sent on to lists within them, each by a graph of its own."""
+    most = 1 << _CHILD_BITS
+    mine = routed.join(F.broadcast(large), "list")
+    # Sixteen members a list are drawn, so a list's sample is bounded by 16 times the most lists within it.
+    lists = F.least(F.lit(most), F.greatest(F.lit(2), F.floor(F.col("members") / list_size)))
+    every = F.greatest(F.lit(1), F.floor(F.col("members") / (16 * lists)))
+    drawn = mine.filter((F.col("role").bitwiseAND(_MEMBER) > 0) & (F.pmod(F.xxhash64("id", F.lit(level)), every) == 0))
+
+    def train(own: pd.DataFrame) -> pd.DataFrame:
+        sample = np.frombuffer(b"".join(own["v"]), np.float32).reshape(-1, dimension)
+        graph = CentroidGraph(sample, max(1, min(int(own["lists"].iat[0]), len(sample) // 8, most // 2)))
+        file = io.BytesIO()
+        np.savez(file, **graph.arrays())
+        return pd.DataFrame({"list": own["list"].iloc[:1], "graph": [file.getvalue()]})
+
+    graphs = cut(drawn.select("list", lists.alias("lists"), "v").groupBy("list").applyInPandas(train, "list long, graph binary"))
+    salted = mine.select("list", "id", "role", "v", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    spread = graphs.join(F.broadcast(large), "list").select("list", "graph", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+
+    # A row is in several of the lists that are split, so within each of them it need not go to as many.
+    inside = how | {"breadth": max(1, how["breadth"] // 4), "replicas": max(1, how["replicas"] // 4)}
+
+    def split(rows: pa.Table, held: pa.Table) -> pa.Table:
+        if not rows.num_rows or not held.num_rows:
+            return rows.select(["list", "id", "role", "v"])
+        graph = CentroidGraph.of(dict(np.load(io.BytesIO(held["graph"][0].as_py()))))
+        found = []
+        for start in range(0, rows.num_rows, 256):
+            part = rows.slice(start, 256)
+            row, where, roles = _route(graph, _matrix(part["v"], dimension), part["role"].to_numpy(), inside)
+            own = (rows["list"][0].as_py() & ((1 << 56) - 1)) << _CHILD_BITS | level << 56
+            taken = part.take(pa.array(row))
+            found.append(pa.table({"list": own | where.astype(np.int64), "id": taken["id"], "role": roles, "v": taken["v"]}))
+        return pa.concat_tables(found)
+
+    inner = salted.groupBy("list", "part").cogroup(spread.groupBy("list", "part")).applyInArrow(split, _ROUTED)
+    return inner.unionByName(routed.join(F.broadcast(large), "list", "left_anti").select("list", "id", "role", "v"))
+
+
+def _in_cells(routed: DataFrame, list_rows: int) -> DataFrame:
+    """``list, cell, id, role, v``: a list of more than ``list_rows`` rows is a grid, with its members in all columns of their
+    row and its queries in all rows of their column."""
+    side = F.ceil(F.greatest(F.count_if(F.col("role").bitwiseAND(_MEMBER) > 0), F.count_if(F.col("role").bitwiseAND(_QUERY) > 0)) / list_rows)
+    # At most as many as there are rows over list_rows.
+    large = routed.groupBy("list").agg(side.alias("side")).filter("side > 1")
+    large = routed.sparkSession.createDataFrame(large.collect(), "list long, side long")
+    wide = routed.join(F.broadcast(large), "list", "left").withColumn("side", F.coalesce("side", F.lit(1)))
+    own, places = F.pmod(F.xxhash64("id", F.lit(5)), F.col("side")), F.sequence(F.lit(0).cast("long"), F.col("side") - 1)
+
+    def takes(role: int, cell) -> Column:
+        cells = F.transform(places, lambda j: F.struct(cell(j).alias("cell"), F.lit(role).cast("byte").alias("role")))
+        return F.when(F.col("role").bitwiseAND(role) > 0, cells).otherwise(F.slice(cells, 1, 0))
+
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("cell"), "role"))
+    both = F.concat(takes(_MEMBER, lambda j: own * F.col("side") + j), takes(_QUERY, lambda j: j * F.col("side") + own))
+    cells = F.explode(F.when(F.col("side") == 1, whole).otherwise(both)).alias("c")
+    return wide.select("list", "id", "v", cells).select("list", "c.cell", "id", "c.role", "v")
+
+
 def nearest_vectors(
     vectors: DataFrame,
     id_col: str = "id",
@@ -211,6 +291,7 @@ def nearest_vectors(
     probe: float = 1.15,
     breadth: int = 32,
     replicas: int = 8,
+    split_rows: int = 16_000,
     list_rows: int = 40_000,
 ) -> DataFrame:
     """``id, other, similarity``: of each vector, its ``k`` most similar others, at least ``least_similarity`` alike.
@@ -219,7 +300,7 @@ def nearest_vectors(
     dimension take no part; a repeated row counts once; among equally similar vectors any may be given. An empty
     table gives an empty result. ``sample_rows`` and ``sample_bytes`` bound the training sample (drawn by hash of the id); all rows
     are indexed. A larger ``replicate`` or ``probe`` (distance ratios), up to ``replicas`` lists to be stored in and ``breadth``
-    lists to search, raises recall and work. Trains when called.
+    lists to search, raises recall and work. Trains when called, and checkpoints the lists to count them.
     """
     spark = vectors.sparkSession
     rows = _usable(vectors, id_col, vector_col)
@@ -237,49 +318,30 @@ def nearest_vectors(
     every = max(1, n // max(1, sample_rows))
     drawn = index.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(every)) == 0).select("v").toArrow()["v"].combine_chunks()
     sample = np.asarray(drawn.values.to_numpy(zero_copy_only=False), np.float32).reshape(-1, dimension)
-    lists = max(1, min(n // list_size, len(sample) // 16))
-    graph = CentroidGraph(sample, lists)
-    # Rows that a list holds, as the sample has it; lists too large for one task are cut into a grid.
-    grid = np.maximum(1, np.ceil(graph.share * n * 5 / list_rows)).astype(np.int64)
-    shared = spark.sparkContext.broadcast((graph.arrays(), grid))
+    # Few vectors have shorter lists.
+    lists = max(1, min(max(n // list_size, math.isqrt(n) // 4), len(sample) // 16))
+    shared = spark.sparkContext.broadcast(CentroidGraph(sample, lists).arrays())
+    how = {"replicate": replicate, "probe": probe, "breadth": breadth, "replicas": replicas}
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays, grid = shared.value
-        held = CentroidGraph.of(arrays)
+        graph = CentroidGraph.of(shared.value)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids, own = part.column(0).to_numpy(), part.column(1)
+                ids, own = batch.column(0).slice(start, 256), batch.column(1).slice(start, 256)
                 data = np.asarray(own.flatten().to_numpy(zero_copy_only=False), np.float32).reshape(-1, dimension)
-                beam, distance = held.near(data, breadth, max(replicate, probe))
-                bound = distance[:, :1] + 1e-6
-                stored, asks = distance <= replicate * bound, distance <= probe * bound
-                stored[:, replicas:] = False
-                row, slot = np.nonzero((stored | asks) & (beam >= 0))
-                where = beam[row, slot]
-                for role, takes in ((_MEMBER, stored[row, slot]), (_QUERY, asks[row, slot])):
-                    # In a list's grid, a member is in all columns of its row, a query in all rows of its column.
-                    whole = grid[where] == 1
-                    both = whole & stored[row, slot] & asks[row, slot]
-                    if role == _QUERY:
-                        takes = takes & ~both
-                    count = np.where(takes, grid[where], 0)
-                    r, w = np.repeat(row, count), np.repeat(where, count)
-                    other = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    own_cell = (ids[r].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % grid[w]
-                    cell = own_cell * grid[w] + other if role == _MEMBER else other * grid[w] + own_cell
-                    roles = np.full(len(r), role, np.int8)
-                    if role == _MEMBER:
-                        roles[np.repeat(both, count)] = _MEMBER | _QUERY
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "list": pa.array(w.astype(np.int32)),
-                            "cell": pa.array(cell),
-                            "id": pa.array(ids[r]),
-                            "role": pa.array(roles),
-                            "v": pa.array([data[i].tobytes() for i in r], pa.binary()),
-                        }
-                    )
+                row, where, roles = _route(graph, data, np.full(len(data), _MEMBER | _QUERY, np.int8), how)
+                packed = pa.array([v.tobytes() for v in data], pa.binary()).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), ids.take(pa.array(row)), pa.array(roles), packed], ["list", "id", "role", "v"])
+
+    routed = cut(index.select("id", "v").mapInArrow(route, _ROUTED))
+    for level in range(1, _LEVELS):
+        members = F.count_if(F.col("role").bitwiseAND(_MEMBER) > 0).alias("members")
+        parts = F.ceil(F.count(F.lit(1)) / 50_000).alias("parts")
+        # At most as many lists as there are rows over split_rows.
+        large = routed.groupBy("list").agg(members, parts).filter(F.col("members") > split_rows).collect()
+        if not large:
+            break
+        routed = cut(_finer(routed, spark.createDataFrame(large, "list long, members long, parts long"), level, dimension, list_size, how))
 
     def search(table: pa.Table) -> pa.Table:
         ids, roles = table["id"].to_numpy(), table["role"].to_numpy()
@@ -288,8 +350,7 @@ def nearest_vectors(
         found = _best(data[query], ids[query], data[member], ids[member], k, least_similarity)
         return pa.table(dict(zip(("id", "other", "similarity"), map(pa.array, found))))
 
-    routed = index.select("id", "v").mapInArrow(route, "list int, cell long, id long, role byte, v binary")
-    pairs = routed.groupBy("list", "cell").applyInArrow(search, "id long, other long, similarity float")
+    pairs = _in_cells(routed, list_rows).groupBy("list", "cell").applyInArrow(search, "id long, other long, similarity float")
     return _with_copies(rows, directions, lanes, _top(pairs, k), k, least_similarity)
 
 

@@ -158,6 +158,17 @@ WITH texts AS (
 )
 """
 
+_NEAR = """
+WITH vectors AS (
+  SELECT id, any_value(embedding)::DOUBLE[] AS v FROM story_vectors WHERE id IS NOT NULL AND embedding IS NOT NULL GROUP BY id
+), usable AS (SELECT id, v FROM vectors WHERE list_max(list_transform(v, lambda x: abs(x))) > 0),
+near AS (
+  SELECT a.id, b.id AS other, list_cosine_similarity(a.v, b.v) AS similarity FROM usable a JOIN usable b ON a.id <> b.id
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY similarity DESC) <= 10
+)
+SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM near WHERE similarity >= 0.8
+"""
+
 _FREQUENT = r"""
 WITH rows AS (SELECT DISTINCT id, query FROM search_analytics WHERE id IS NOT NULL)
 SELECT query FROM rows WHERE regexp_matches(query, '[\p{L}\p{N}]')
@@ -189,6 +200,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_records": _RECORDS + "SELECT first_id, n_copies, n_spellings, example FROM records",
         "p2_found": _TERMS + "SELECT term, mark FROM terms WHERE mark IS NOT NULL",
         "p2_terms": _TERMS + "SELECT term, occurrences, n_records, mark FROM terms",
+        "p3_found": _NEAR,
         "p4_found": _FREQUENT,
         "p5_found": _SEEN,
         "p6_found": _LEAKS,

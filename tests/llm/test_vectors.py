@@ -48,6 +48,17 @@ def test_grid_of_blocks_gives_the_same(spark):
     assert whole == cut and len(whole) == 6000
 
 
+def test_large_lists_are_split_level_by_level(spark):
+    rows = clustered(3000, seed=8)
+    vectors = frame(spark, range(3000), rows)
+    similar, top = exact(rows, 10)
+    want = {(i, int(j)) for i in range(3000) for j in top[i] if similar[i, j] >= 0.8}
+    # Three lists of a small sample, each split into lists of about forty, some of them again.
+    got = nearest_vectors(vectors, least_similarity=0.8, list_size=40, sample_rows=50, split_rows=150).collect()
+    found = {(r.id, r.other) for r in got}
+    assert len(found) == len(got) and len(found & want) >= 0.97 * len(want)
+
+
 def test_odd_rows(spark):
     rows = [[1, 0, 0], [1, 0.1, 0], None, [0, 0, 0], [float("nan"), 1, 0], [1, 0], [0, 1, 0], [2, 0, 0], [float("inf"), 0, 0], []]
     vectors = frame(spark, range(10), rows).unionByName(frame(spark, [0, 6], [rows[0], rows[6]]))
