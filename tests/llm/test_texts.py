@@ -44,8 +44,8 @@ def test_leaks_match_brute_force(spark, n):
     docs += [(93 + k, f"zz {t} zz") for k, (_, t) in enumerate(items) if t]
     corpus = spark.createDataFrame([(*d, 1, "s") for d in docs + docs[:3]], "doc_id long, text string, item_id int, start string")
     tests = spark.createDataFrame([(*i, 2) for i in items], "item_id long, text string, doc_id int")
-    for chars in (16_000_000, 200):
-        got = eval_leaks(corpus, tests, min_words=n, automaton_chars=chars).collect()
+    for chars, held in ((16_000_000, 1), (200, 1), (200, 10_000_000)):
+        got = eval_leaks(corpus, tests, min_words=n, automaton_chars=chars, held_chars=held).collect()
         assert {(r.item_id, r.doc_id) for r in got} == leak_model(items, docs, n)
         assert len(got) == len(set(got))
         assert all(r.n_words >= n for r in got)
@@ -60,6 +60,17 @@ def test_offsets_are_of_the_original_text():
     assert [(i, n, own[a:b]) for i, n, a, b in found] == [(7, 7, own[own.index("ONE") : own.index(" outro")])]
 
 
+def test_a_block_of_many_items():
+    rng = random.Random(0)
+    text = lambda n: " ".join(f"w{rng.randrange(300)}" for _ in range(n))
+    items = [(k, f"{text(rng.randrange(13))} one two three four five six {text(rng.randrange(13))}") for k in range(200)]
+    docs = [(k, f"{text(5)} {' '.join(items[k][1].split()[rng.randrange(8) :])} {text(5)}") for k in range(100)] + [(200, "one two three four five six")]
+    for n in (1, 2, 7, 12):
+        few, many = Leaks(items, n, many=0), Leaks(items, n, many=1000)
+        got = {(i, d) for d, t in docs for i, *_ in few.find(t)}
+        assert got == {(i, d) for d, t in docs for i, *_ in many.find(t)} == leak_model(items, docs, n)
+
+
 def plan(rows):
     return pd.DataFrame(rows, columns=["plan_id", "source", "weight", "max_repeats", "supply"])
 
