@@ -9,6 +9,7 @@ memory limit. A part of one single term never grows the result, so it needs no f
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -46,6 +47,12 @@ def _combine(batches: Iterator[pa.RecordBatch], most_rows: int = 400_000) -> Ite
         yield from merged().to_batches()
 
 
+def _opened_by_arrow(uri: str) -> str:
+    """A folder as Spark names it, as Arrow does: other names of the same object store, and paths without a scheme."""
+    scheme, sign, rest = uri.partition("://")
+    return f"s3://{rest}" if sign and scheme in ("s3a", "s3n") else uri if sign or uri.startswith(("file:", "/")) else os.path.abspath(uri)
+
+
 class RadixSpill:
     """Sums counts by term within ``budget`` bytes of memory, spilling to ``folder`` (any URI that pyarrow opens)."""
 
@@ -58,7 +65,7 @@ class RadixSpill:
         """Name a folder of this task's own; nothing is written as long as the share fits the memory."""
         from pyarrow import fs
 
-        self.files, root = fs.FileSystem.from_uri(self.folder)
+        self.files, root = fs.FileSystem.from_uri(_opened_by_arrow(self.folder))
         self.root = f"{root}/radix-{uuid.uuid4().hex}"
         self.local = self.root if isinstance(self.files, fs.LocalFileSystem) else None
 
@@ -143,17 +150,23 @@ def term_frequency(
     rare_records: int = 2,
     common_share: tuple[int, int] = (1, 6),
     task_bytes: int = 48 << 20,
+    few: int = 200_000,
 ) -> DataFrame:
     """``term, occurrences, n_records, mark`` of every maximal run of non-whitespace characters.
 
     ``mark`` is ``rare`` (in at most ``rare_records`` records), ``common`` (in more, and in at least the given share
     of the records with a text) or null. A record is a distinct non-null id with a non-null text, counted once
     however often its row is repeated (should its texts differ, the smallest counts); an empty text is a record
-    without terms. An empty table gives an empty result. Counts the records when called.
+    without terms. An empty table gives an empty result. Counts the records when called. Only texts of ids that occur in
+    several rows are compared with each other; up to ``few`` such ids are broadcast, so that no other text is shuffled.
     """
     rows = records.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).dropna()
-    total = rows.agg(F.count_distinct("id")).first()[0]
-    texts = rows.groupBy("id").agg(F.min("text").alias("text"))
+    counted = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    total, several = counted.agg(F.count(F.lit(1)), F.count_if(F.col("n") > 1)).first()
+    again = counted.filter("n > 1").select("id")
+    again = F.broadcast(again) if several <= few else again
+    once = rows.join(again, "id", "left_anti").select("id", "text")
+    texts = once.unionByName(rows.join(again, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     combined = texts.select(split_words(F.col("text"), WS).alias("terms")).mapInArrow(
         _combine, "term string, occurrences long, n_records long"
     )
