@@ -11,7 +11,8 @@ counters only add up. So the symbols with T or more form, per group, one short l
 frequent value is a codeword inside the product of these lists. Mixtures of symbols of different values are
 rejected by the check symbols (and by the group hash). Where a product is too large to decode, another
 hashing decides, and if none decodes all of its groups, the sketch is repeated with four times the groups.
-The candidates found this way are then counted exactly, by value, in a second pass over the column.
+The candidates found this way are then counted exactly: the records, told apart once and kept as pairs of id and
+128-bit hash, give the counts, and a second pass over the column the values.
 """
 
 from __future__ import annotations
@@ -24,11 +25,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.functions.lineage import cut
+
 _DATA, _CHECK, _SYMBOLS = 10, 4, 16
 _LENGTH = _DATA + _CHECK
 _DIGEST_BITS = 4 * _DATA
 #: Products of symbol lists up to this size are decoded.
 _DECODE_LIMIT = 1 << 21
+#: Counters of a sketch with so many groups and three repeats take 350 MB.
+_MOST_GROUPS = 1 << 16
 
 
 def _field_tables() -> np.ndarray:
@@ -107,8 +112,12 @@ def decode(counters: np.ndarray, threshold: int) -> tuple[dict[int, int], bool]:
     return found, whole
 
 
-def _digest(value: Column) -> Column:
-    return F.xxhash64(value).bitwiseAND(F.lit((1 << _DIGEST_BITS) - 1))
+def _digest(h0: Column) -> Column:
+    return h0.bitwiseAND(F.lit((1 << _DIGEST_BITS) - 1))
+
+
+def _hashes(value: Column) -> list[Column]:
+    return [F.xxhash64(value).alias("h0"), F.xxhash64(F.lit(1), value).alias("h1")]
 
 
 def _sketch(digests: DataFrame, repeats: int, groups: int) -> np.ndarray:
@@ -139,27 +148,30 @@ def heavy_hitters(
     A record is a distinct non-null id; all records belong to the total, but null and blank values (without
     letter or digit) are no values. ``approx_count`` is the sketch's estimate, never below the true count. All
     values with the least count are given, ties included. An empty table gives an empty result. ``groups`` must
-    be a power of two, some twice ``one_in`` or more. Runs two passes when called, to find the candidates.
+    be a power of two, some twice ``one_in`` or more. Fills the sketch when called; the records' ids and hashes are
+    checkpointed. Calling for a sketch of more than ``_MOST_GROUPS`` groups, which only very many values near the threshold do, is an error.
     """
     rows = log.select(F.col(id_col).alias("id"), F.col(value_col).alias("value")).filter(F.col("id").isNotNull())
     usable = F.col("value").rlike(r"[\p{L}\p{N}]")
-    total = rows.agg(F.count_distinct("id")).first()[0]
+    # Null and blank values are records, too, but no values.
+    pairs = cut(rows.select("id", *(F.when(usable, h).alias(n) for n, h in zip(("h0", "h1"), _hashes(F.col("value"))))).distinct())
+    total = pairs.agg(F.count_distinct("id")).first()[0]
     least = max(1, -(-total // one_in))
-    digests = rows.filter(usable).select("id", _digest(F.col("value")).alias("digest")).distinct().select("digest")
+    digests = pairs.filter(F.col("h0").isNotNull()).select(_digest(F.col("h0")).alias("digest"))
     whole, bounds = False, {}
     while not whole:
+        if groups > _MOST_GROUPS:
+            raise ValueError(f"values at a share of one in {one_in} cannot be told by {groups} groups")
         bounds, whole = decode(_sketch(digests, repeats, groups), least)
         groups *= 4
     # At most one_in values are that frequent; the code lets next to nothing else pass.
     keys = sorted(bounds) or [-1]
     estimate = F.create_map(*(F.lit(x) for k in keys for x in (k, bounds.get(k, 0))))
-    counted = (
-        rows.filter(usable & _digest(F.col("value")).isin(keys))
-        .distinct()
-        .groupBy("value")
-        .agg(F.count(F.lit(1)).alias("exact_count"))
-        .filter(F.col("exact_count") >= least)
-    )
-    return counted.select(
-        "value", estimate[_digest(F.col("value"))].alias("approx_count"), "exact_count", F.lit(total).cast("long").alias("n_records")
+    candidate = _digest(F.xxhash64("value")).isin(keys)
+    counted = pairs.filter(_digest(F.col("h0")).isin(keys)).groupBy("h0", "h1").agg(F.count(F.lit(1)).alias("exact_count"))
+    values = rows.filter(usable & candidate).select("value").distinct().select("value", *_hashes(F.col("value")))
+    # At most one_in rows.
+    frequent = values.join(F.broadcast(counted.filter(F.col("exact_count") >= least)), ["h0", "h1"])
+    return frequent.select(
+        "value", estimate[_digest(F.col("h0"))].alias("approx_count"), "exact_count", F.lit(total).cast("long").alias("n_records")
     )
