@@ -105,9 +105,17 @@ def test_term_frequency(spark, budget):
     got = term_frequency(frame, task_bytes=budget).collect()
     assert {tuple(r) for r in got} == term_model(rows)
     assert len(got) == len(term_model(rows))
+    assert {tuple(r) for r in term_frequency(frame, few=0).collect()} == term_model(rows)
     assert term_frequency(frame.limit(0)).collect() == []
 
 
+def test_spill_folders_are_named_as_arrow_does():
+    from larkspur.llm.term_frequency import _opened_by_arrow
+
+    assert _opened_by_arrow("s3a://bucket/x") == "s3://bucket/x"
+    assert [_opened_by_arrow(u) for u in ("file:/a", "/a", "gs://b/c", "hdfs://h/x")] == ["file:/a", "/a", "gs://b/c", "hdfs://h/x"]
+
+
 def test_radix_spill_splits_again_and_leaves_nothing(tmp_path):
     rng = np.random.default_rng(0)
     hashes = np.concatenate([rng.integers(0, 1 << 52, 3000), np.full(3000, 5)])

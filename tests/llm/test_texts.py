@@ -121,6 +121,32 @@ def test_mixture(spark):
     assert Mixture(frames[0], frames[1].limit(0)).documents().collect() == []
 
 
+def test_mixture_follows_a_given_schedule(spark):
+    docs = [(k, "word " * 10, "abc"[k % 3]) for k in range(3000)]
+    frames = (
+        spark.createDataFrame(docs, "doc_id long, text string, source string"),
+        spark.createDataFrame([(1, "a", 1.0, 9), (1, "b", 1.0, 9), (1, "c", 1.0, 9), (2, "a", 1.0, 1)], "plan_id long, source string, weight double, max_repeats int"),
+    )
+    knots = [(1, "a", 0.0, 2.0), (1, "a", 0.5, 0.0), (1, "b", 0.0, 2.0), (1, "b", 1.0, 2.0), (1, "c", 0.5, 0.0), (1, "c", 1.0, 6.0), (1, "c", 3.0, 9.0), (1, None, 0.0, 1.0)]
+    schedule = spark.createDataFrame([*knots, (7, "a", 0.0, 1.0)], "plan_id long, source string, time double, weight double")
+    mixture = Mixture(*frames, schedule=schedule)
+    shares = {(r.plan_id, r.source): r for r in mixture.shares().collect()}
+    # a falls from 1/2 to 0 by half-time, b rises from 1/2 to 1 and falls to 1/4, c rises from 0 to 3/4 then.
+    for source, share in (("a", 0.125), ("b", 0.6875), ("c", 0.1875)):
+        assert shares[1, source].target_share == pytest.approx(share) and shares[1, source].actual_share == pytest.approx(share, abs=0.002)
+    assert shares[2, "a"].actual_share == 1 and len(shares) == 4
+    used = mixture.documents().toPandas()
+    one = used[used.plan_id == 1]
+    time = one["position"] / one["n_tokens"].sum()
+    for begin in (0.0, 0.3, 0.6, 0.9):
+        stretch = one[(time >= begin) & (time < begin + 0.1)]
+        middle = begin + 0.05
+        rate = {"a": max(0, 0.5 - middle), "b": 0.5 + middle if middle < 0.5 else 1 - 1.5 * (middle - 0.5), "c": max(0, 1.5 * (middle - 0.5))}
+        for source in "abc":
+            own = stretch[stretch.source == source]["n_tokens"].sum() / stretch["n_tokens"].sum()
+            assert own == pytest.approx(rate[source], abs=0.02), (begin, source)
+
+
 def test_token_counts_are_the_tokenizers(spark):
     import base64
 
