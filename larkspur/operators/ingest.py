@@ -40,14 +40,15 @@ def with_preprocessed_text(stories: DataFrame) -> DataFrame:
 def insert_if_absent(stored: DataFrame, crawled: DataFrame, order: str) -> DataFrame:
     """The crawled rows to append: of each id not stored, the first by ``order``. Stored rows are never updated.
 
-    Null ids are never stored. The first row is taken by partial aggregation and stored ids are told by an anti-join
-    on distinct ids, so repeated ids are combined before they are shuffled.
+    Null ids are never stored; rows without an order come last. Ids and orders alone tell which rows are new: repeated ids
+    are combined before they are shuffled, and whole rows are fetched only for those, by id and order. Of several rows
+    with one id and order the smallest is taken.
     """
-    columns = [c for c in crawled.columns if c != order]
-    row = F.struct(*(F.col(c) for c in columns))
-    firsts = crawled.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min_by(row, F.col(order)).alias("row"))
-    fresh = firsts.join(stored.select("id").distinct(), "id", "left_anti")
-    return fresh.select("row.*")
+    columns = [c for c in crawled.columns if c not in ("id", order)]
+    firsts = crawled.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min(order).alias("first"))
+    fresh = firsts.join(stored.select("id").distinct(), "id", "left_anti").withColumnRenamed("id", "new")
+    whole = crawled.join(fresh, (F.col("id") == F.col("new")) & F.col(order).eqNullSafe(F.col("first")))
+    return whole.groupBy("id").agg(F.min(F.struct(*columns)).alias("row")).select("id", "row.*")
 
 
 def log_rows(searches: DataFrame) -> DataFrame:

@@ -7,12 +7,38 @@ context.
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _MICROS = 1_000_000
 
 
+class TooManyRequests(Exception):
+    """A client has asked too often."""
+
+
+class Limiter:
+    """Admission of live requests, one at a time, as ``admit`` decides over a log. A client's times are kept for a window."""
+
+    def __init__(self, limit: int = 40, window_seconds: float = 60) -> None:
+        self.limit, self.window, self.times = limit, window_seconds, defaultdict(deque)
+
+    def check(self, client: str | None, now: float) -> None:
+        """Count the request, whether admitted or not; raise if the window before it was full."""
+        for known in list(self.times) if len(self.times) > 10_000 else [client]:
+            own = self.times[known]
+            while own and own[0] <= now - self.window:
+                own.popleft()
+            if not own and known != client:
+                del self.times[known]
+        prior = len(self.times[client])
+        self.times[client].append(now)
+        if prior >= self.limit:
+            raise TooManyRequests("Too many requests. Please slow down!")
+
+
 def _timed(requests: DataFrame, client: str, epoch: str) -> DataFrame:
     micros = F.round(F.col(epoch) * _MICROS).cast("long")
     return requests.filter(F.col(epoch).isNotNull()).withColumns({"_client": F.col(client), "_us": micros})

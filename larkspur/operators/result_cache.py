@@ -31,6 +31,12 @@ def get(requests: DataFrame, stored: DataFrame, now: Column) -> DataFrame:
     return requests.join(live, list(_KEY), "left")
 
 
+def lookup(stored: DataFrame, q: str, page: int, page_size: int, now: Column) -> DataFrame:
+    """At most one row ``value``: the live page last stored under one key. Only rows of the key leave the scan."""
+    own = stored.filter((F.col("q") == q) & (F.col("page") == page) & (F.col("page_size") == page_size))
+    return own.orderBy(F.desc("stored_at")).limit(1).filter(F.col("expires_at") > now).select("value")
+
+
 def valid_requests(requests: DataFrame) -> DataFrame:
     """Requests with a query, a time and a page and size of 1 or more; nulls take the defaults 1 and 5."""
     filled = requests.fillna({"page": 1, "page_size": 5})

@@ -49,12 +49,13 @@ def embed(stories: DataFrame, embedder: Embedder) -> DataFrame:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """Vectors that are not null; an id with several keeps one."""
-    return vectors.filter(F.col("id").isNotNull() & F.col("embedding").isNotNull()).select("id", "embedding").dropDuplicates(["id"])
+    """Rows with an id and a vector. Vectors are never shuffled: repeated ids are told by what is computed of them."""
+    return vectors.filter(F.col("id").isNotNull() & F.col("embedding").isNotNull()).select("id", "embedding")
 
 
 def scores(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
-    """``id, score``: cosine of each vector with ``query``, 0 where either is zero or the lengths differ. One pass, no shuffle."""
+    """``id, score``: cosine of each vector with ``query``, 0 where either is zero or the lengths differ. An id with several
+    vectors has its best score. One pass over the vectors; ids and scores alone are shuffled, to tell repeated ids."""
     wanted = np.asarray(query, np.float64)
     norm = np.sqrt(wanted @ wanted)
 
@@ -71,7 +72,7 @@ def scores(vectors: DataFrame, query: Sequence[float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["id", "score"])
 
     found = vectors.select("id", "embedding").mapInArrow(score, "id long, score double")
-    return found.select("id", F.round("score", DECIMALS).alias("score"))
+    return found.groupBy("id").agg(F.round(F.max("score"), DECIMALS).alias("score"))
 
 
 def top(vectors: DataFrame, query: Sequence[float], k: int = 10) -> DataFrame:

@@ -167,7 +167,7 @@ def tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
 @_query
 def vector_scan(spark: SparkSession, d: str) -> DataFrame:
     found = vectors.usable(table(spark, d, "story_vectors"))
-    return found.select("id", F.size("embedding").cast("long").alias("n_values"))
+    return found.groupBy("id").agg(F.max(F.size("embedding")).cast("long").alias("n_values"))
 
 
 @_query

@@ -2,19 +2,21 @@
 
 The feed is any base URL (``http://…/`` or ``file:/…/``) with ``topstories.json``, an array of ids in rank order,
 and ``item/<id>.json``. Register with ``spark.dataSource.register(StoryFeed)``, then
-``spark.read.format("story_feed").option("base_url", …).option("limit", 200).load()``.
+``spark.read.format("story_feed").option("base_url", …).option("limit", 200).load()``. Read as a stream, every trigger
+crawls the feed anew.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 from urllib.parse import urljoin
 from urllib.request import urlopen
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from larkspur.sources.schemas import FEED_ITEM
 
@@ -29,14 +31,16 @@ class _Ids(InputPartition):
         self.ranked = ranked
 
 
-class _Reader(DataSourceReader):
+class _Crawl:
+    """How a crawl is split into partitions and read."""
+
     def __init__(self, options: dict[str, str]) -> None:
         self.base = options["base_url"].rstrip("/") + "/"
         self.limit = int(options.get("limit", 200))
         self.timeout = float(options.get("timeout", 10))
         self.parts = int(options.get("partitions", 8))
 
-    def partitions(self) -> list[InputPartition]:
+    def parts_of(self) -> list[InputPartition]:
         # A failure to read the list of ids fails the query; one item that cannot be read does not.
         ids = json.loads(_fetch(urljoin(self.base, "topstories.json"), self.timeout))[: self.limit]
         ranked = list(enumerate(ids))
@@ -46,10 +50,31 @@ class _Reader(DataSourceReader):
         for rank, item_id in partition.ranked:
             try:
                 yield rank, item_id, _fetch(urljoin(self.base, f"item/{item_id}.json"), self.timeout)
-            except OSError:
+            except Exception:  # noqa: BLE001 - whatever is wrong with one item, the others go on
                 yield rank, item_id, None
 
 
+class _Reader(_Crawl, DataSourceReader):
+    def partitions(self) -> list[InputPartition]:
+        return self.parts_of()
+
+
+class _StreamReader(_Crawl, DataSourceStreamReader):
+    """Offsets are times, so there is always something new; a batch that is repeated after a failure crawls again."""
+
+    def initialOffset(self) -> dict:
+        return {"time": 0}
+
+    def latestOffset(self) -> dict:
+        return {"time": time.time_ns() // 1_000_000}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return self.parts_of()
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
 class StoryFeed(DataSource):
     """Rows ``rank, item_id, body``: the raw JSON of each item, null where it could not be fetched."""
 
@@ -63,6 +88,9 @@ class StoryFeed(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(self.options)
+
 
 def decode_items(bodies: DataFrame) -> DataFrame:
     """The items of raw JSON bodies: ``rank`` and the item's fields. Bodies that are null, malformed or without id are dropped."""

@@ -184,6 +184,48 @@ def test_feed(spark, feed):
     assert [r.id for r in top_ids(decode_items(bodies), 2).collect()] == [1, 3]
 
 
+def test_an_item_that_cannot_be_read_is_dropped(spark, feed, tmp_path):
+    (tmp_path / "item" / "2.json").write_bytes(b"\xff\xfe\x00")
+    (tmp_path / "item" / "4.json").write_text('{"id": 4, ')
+    spark.dataSource.register(StoryFeed)
+    got = decode_items(spark.read.format("story_feed").option("base_url", feed).option("limit", 5).load())
+    assert sorted(r.id for r in got.collect()) == [1, 3]
+
+
+def test_live_limiter_decides_as_over_a_log(spark):
+    rows = bursty(7, 150)
+    limiter, got = limits.Limiter(limit=4), {}
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        try:
+            limiter.check(r[1], r[2])
+            got[r[0]] = "allow"
+        except limits.TooManyRequests:
+            got[r[0]] = "reject"
+    want = limits.admit(spark.createDataFrame(rows, REQUESTS), limit=4).collect()
+    assert got == {r.request_id: r.decision for r in want}
+
+
+def test_engine_recrawls_starts_from_stored_stories_and_limits_clients(spark, feed, tmp_path):
+    root = str(tmp_path / "service")
+    engine = Engine(spark, root, limiter=limits.Limiter(limit=2))
+    with pytest.raises(LookupError):
+        engine.search("database")
+    assert engine.reindex(feed) == "Reindexed 3 stories"  # one is listed twice
+    again = Engine(spark, root, limiter=limits.Limiter(limit=2))  # indexes what is stored
+    assert [r["id"] for r in again.search("cats", page_size=1, client="a").results] == [3]
+    (tmp_path / "topstories.json").write_text(json.dumps([5]))
+    (tmp_path / "item" / "5.json").write_text(json.dumps({"id": 5, "type": "story", "title": "Zebra database", "score": 2}))
+    query = again.start_reindexing(feed, str(tmp_path / "state"), every=None)
+    assert query.awaitTermination(120)
+    for _ in range(3):
+        again.build()
+    assert len(again._versions()) == 2
+    assert again.search("zebra", page_size=1, client="a").results[0]["id"] == 5
+    with pytest.raises(limits.TooManyRequests):
+        again.search("zebra", client="a")
+    assert again.search("zebra", page_size=1, client="b").cache == "hit"
+
+
 def test_engine(spark, feed, tmp_path):
     engine = Engine(spark, str(tmp_path / "service"))
     assert engine.index(engine.crawl(feed)) == "Indexed 2 new stories"
