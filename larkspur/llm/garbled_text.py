@@ -442,7 +442,7 @@ class GarbledText:
     A word is a run without ASCII whitespace and HTML tags. Null ids and texts are left out, empty texts hold nothing; a document
     whose row is repeated counts once. Empty tables give empty results. ``rarer`` is in how many times fewer rows or distinct texts than
     its original a garbled form must be that looks like a word of some language, apart from documents whose words tell together. ``share`` is the part of a long run's
-    shingles that must be garbled forms, or ``stretch`` of them. Up to ``few`` documents to restore are broadcast. Whole texts of all documents are read; the distinct words are checkpointed.
+    shingles that must be garbled forms, or ``stretch`` of them. Up to ``few`` documents to restore are broadcast. Whole texts of all documents are read; the words that are not ASCII are checkpointed.
     """
 
     def __init__(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarer: int = 4, share: float = 0.6, stretch: int = 6, few: int = 20_000) -> None:
@@ -451,8 +451,11 @@ class GarbledText:
         quotes = F.col("text").rlike(_QUOTED)
         plain = F.when(quotes, _uncited(F.when(quotes, F.col("text")))).otherwise(F.col("text"))
         words = F.array_distinct(F.filter(F.split(plain, _BREAK), lambda w: w.rlike(r"[^\x00-\x7f]")))
-        self.words = self.texts.filter(F.col("text").rlike(r"[^\x00-\x7f]")).select(
-            "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(words).alias("word")
+        # Used three times, and splitting texts takes long.
+        self.words = cut(
+            self.texts.filter(F.col("text").rlike(r"[^\x00-\x7f]")).select(
+                "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(words).alias("word")
+            )
         )
         self.rarer, self.share, self.stretch, self.few = rarer, share, stretch, few
         numbered = self.words.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.count_distinct("text_hash").alias("texts"))
