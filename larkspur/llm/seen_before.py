@@ -237,7 +237,7 @@ class SeenBefore:
                     yield from now.take(int(generations[begin]), keys[begin:end], batch.column(3).slice(begin, end - begin))
             yield from now.seal() if now else ()
 
-        ordered = every.select(shard, "generation", "key", "first").repartition(self.shards, "shard").sortWithinPartitions("shard", "generation")
+        ordered = every.select(shard, "generation", "key", "first").repartitionById(self.shards, "shard").sortWithinPartitions("shard", "generation")
         return cut(ordered.mapInArrow(watch, _EVENT))
 
     def looked_up(self) -> DataFrame:
