@@ -108,7 +108,8 @@ def formatting_duplicates(log: DataFrame, id_col: str = "id", text_col: str = "q
     )
     both = hashed.join(model.hint("shuffle_hash"), key, "left")
     alike = (F.size("fields") == F.size("model")) & (F.col("repeats") == F.col("model_repeats"))
-    as_sets = (F.size(F.array_except("fields", "model")) == 0) & (F.size(F.array_except("model", "fields")) == 0)
+    # Of two lists as long as each other and without repeats, one holds the other only if they are the same set.
+    as_sets = (F.col("fields") == F.col("model")) | (F.size(F.array_except("fields", "model")) == 0)
     # Only lists with repeats go to Python, others as nulls.
     counted = _equally_often(F.when(alike & F.col("repeats"), F.col("fields")), F.when(alike & F.col("repeats"), F.col("model")))
     equal = F.col("model").isNull() | (alike & F.when(F.col("repeats"), counted).otherwise(as_sets))
